@@ -145,3 +145,28 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
     np.cumsum(hashes * powers(WORD_BASE, len(hashes)), out=prefix[1:])
     back = powers(np.uint64(pow(int(WORD_BASE), -1, 1 << 64)), m)
     return mix((prefix[n:] - prefix[:m]) * back)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset (tests), a temporary one."""
+    import tempfile
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='tidewell-shared-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    return base if ":/" in base else f"file://{base}"
+
+
+def own_folder(spark: SparkSession, purpose: str) -> str:
+    """A new path for one run inside the shared folder."""
+    import uuid
+
+    return f"{shared_folder(spark)}/tidewell-{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows written to the shared folder and read again: lineage is cut and lost executors cost nothing."""
+    path = own_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

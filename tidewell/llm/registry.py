@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import pieces, quality
+from . import pieces, quality, warc
 from .common import table
 
 
@@ -36,6 +36,19 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece}
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record after a trip through Zstandard web archives."""
+    rows = warc.archive_pages(table(spark, sf_dir, "pages"))
+    own = F.col("record_type") == "response"
+    return rows.select(
+        "page_id",
+        F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(own, F.sha2("payload", 256)).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op7_warc": op7_warc}
 
-ORACLES: dict[str, str] = {"op1_quality": quality.oracle()}
+ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op7_warc": warc.ORACLE}
