@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import pieces, quality, warc
+from . import mixing, pieces, quality, vectors, warc
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents mixed to weights by the square root of their sources' sizes."""
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's record after a trip through Zstandard web archives."""
     rows = warc.archive_pages(table(spark, sf_dir, "pages"))
@@ -49,6 +54,11 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op7_warc": op7_warc}
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return vectors.vector_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op7_warc": op7_warc, "op9_vectors": op9_vectors}
 
-ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op7_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op5_mixing": mixing.oracle(), "op7_warc": warc.ORACLE, "op9_vectors": vectors.ORACLE}
