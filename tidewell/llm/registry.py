@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, pii, quality, toxicity, vectors, warc
+from . import mixing, near_dups, pieces, pii, quality, toxicity, vectors, warc
 from .common import table
 
 
@@ -36,6 +36,11 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents mixed to weights by the square root of their sources' sizes."""
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
@@ -79,6 +84,6 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op4_near_dups": op4_near_dups, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors}
 
 ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op5_mixing": mixing.oracle(), "op7_warc": warc.ORACLE, "op9_vectors": vectors.ORACLE}
