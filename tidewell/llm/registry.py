@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import mixing, near_dups, pieces, pii, quality, toxicity, vectors, warc
+from . import lm, mixing, near_dups, pieces, pii, quality, toxicity, vectors, warc
 from .common import table
 
 
@@ -84,6 +84,13 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.vector_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op4_near_dups": op4_near_dups, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of every document, learned outside the held-out seventh."""
+    held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    rows = lm.score_documents(table(spark, sf_dir, "documents"), ~held, tokenizer_path("piece_bpe_32k.model"))
+    return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op4_near_dups": op4_near_dups, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors, "op10_lm": op10_lm}
 
 ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op5_mixing": mixing.oracle(), "op7_warc": warc.ORACLE, "op9_vectors": vectors.ORACLE}
