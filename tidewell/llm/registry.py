@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from . import lm, mixing, near_dups, pieces, pii, quality, toxicity, vectors, warc
+from . import lm, mixing, near_dups, pieces, pii, quality, substrings, toxicity, vectors, warc
 from .common import table
 
 
@@ -17,6 +17,11 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-word passages of documents before it."""
+    return substrings.remove_repeated(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path(name: str) -> str:
     """A file of the installed public tokenizers."""
     import public_tokenizers
@@ -91,6 +96,6 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op3_sentencepiece": op3_sentencepiece, "op4_near_dups": op4_near_dups, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors, "op10_lm": op10_lm}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_quality": op1_quality, "op2_substrings": op2_substrings, "op3_sentencepiece": op3_sentencepiece, "op4_near_dups": op4_near_dups, "op5_mixing": op5_mixing, "op6_toxicity": op6_toxicity, "op7_warc": op7_warc, "op8_pii": op8_pii, "op9_vectors": op9_vectors, "op10_lm": op10_lm}
 
-ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op5_mixing": mixing.oracle(), "op7_warc": warc.ORACLE, "op9_vectors": vectors.ORACLE}
+ORACLES: dict[str, str] = {"op1_quality": quality.oracle(), "op2_substrings": substrings.ORACLE, "op5_mixing": mixing.oracle(), "op7_warc": warc.ORACLE, "op9_vectors": vectors.ORACLE}
