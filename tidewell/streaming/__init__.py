@@ -1 +1 @@
-
+"""Structured Streaming: capture routing, connection audits, live books and features."""
