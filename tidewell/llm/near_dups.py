@@ -29,7 +29,7 @@ from .common import WORD_BASE, Words, mix, powers, text_bytes, text_chunks, wind
 from .components import components
 
 #: Words of a run; similarity of a link; sketches; runs in a sketch.
-RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 16, 4
+RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 32, 7
 #: Diagonals on either side, as a share of the longer text and at least so many.
 BAND, LEAST_BAND = 0.25, 64
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
