@@ -163,7 +163,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def oracle() -> str:
     """DuckDB SQL for the rows of ``quality_rules`` over ``documents``."""
-    grams = ", ".join(f"({n})" for n in NGRAM_LIMITS)
+    one = lambda n: f"SELECT doc_id, {n} AS n, i, md5(concat_ws(' ', word, {', '.join(f'lead(word, {j}) OVER w' for j in range(1, n))})) AS g FROM word WINDOW w AS (PARTITION BY doc_id ORDER BY i) QUALIFY lead(word, {n - 1}) OVER w IS NOT NULL"
+    grams = " UNION ALL ".join(map(one, NGRAM_LIMITS))
     dup = ", ".join(f"coalesce(sum(chars) FILTER (WHERE n = {n}), 0)::BIGINT AS dup_chars_{n}" for n in NGRAM_LIMITS)
     keep = " AND ".join(f"coalesce(dup_chars_{n}, 0) <= {limit}::DOUBLE * word_chars" for n, limit in NGRAM_LIMITS.items())
     columns = ", ".join(f"coalesce(dup_chars_{n}, 0)::BIGINT AS dup_chars_{n}" for n in NGRAM_LIMITS)
@@ -174,7 +175,7 @@ word AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM
 line AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM l),
 lines AS (SELECT doc_id, length(line) AS chars, row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1 AS again FROM line WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 line_sum AS (SELECT doc_id, count(*) AS n_lines, sum(chars) AS line_chars, count(*) FILTER (WHERE again) AS n_dup_lines, coalesce(sum(chars) FILTER (WHERE again), 0) AS dup_line_chars FROM lines GROUP BY doc_id),
-gram AS (SELECT doc_id, n, i, array_to_string(ws[i:i+n-1], ' ') AS g FROM (SELECT doc_id, ws, n, unnest(range(1, greatest(len(ws) - n + 2, 1))) AS i FROM l, (VALUES {grams}) v(n))),
+gram AS ({grams}),
 rep AS (SELECT doc_id, n, i, row_number() OVER (PARTITION BY doc_id, n, g ORDER BY i) > 1 AS later, count(*) OVER (PARTITION BY doc_id, n, g) > 1 AS every FROM gram),
 covered AS (SELECT DISTINCT doc_id, n, unnest(range(i, i + n)) AS i FROM rep WHERE later),
 dup AS (SELECT doc_id, {dup} FROM (SELECT c.doc_id, c.n, length(w.word) AS chars FROM covered c JOIN word w ON c.doc_id = w.doc_id AND c.i = w.i) GROUP BY doc_id),
