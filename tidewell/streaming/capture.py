@@ -149,3 +149,21 @@ def tumbling_files(annotated: DataFrame, seconds: int = 600) -> DataFrame:
     at = F.timestamp_micros((F.col("recv_ns") / 1000).cast("long"))
     rows = annotated.where("recv_ns IS NOT NULL").withColumn("at", at).withWatermark("at", f"{seconds} seconds")
     return rows.select("at", "latency_ms", F.explode("destinations").alias("route")).groupBy(F.window("at", f"{seconds} seconds"), "route").agg(F.count("*").alias("n_messages"), F.avg("latency_ms").alias("mean_latency_ms"))
+
+
+def drop_replicas(annotated: DataFrame, seconds: int = 3600) -> DataFrame:
+    """The first of equal lines of a connection within a bounded time; older lines leave the state."""
+    at = F.timestamp_micros((F.col("recv_ns") / 1000).cast("long"))
+    rows = annotated.withColumn("at", at).withColumn("line_sha256", F.sha2("raw_line", 256)).withWatermark("at", f"{seconds} seconds")
+    return rows.dropDuplicatesWithinWatermark(["epoch", "line_sha256"])
+
+
+def with_manifest(query_rows: DataFrame, path: str):
+    """A ``foreachBatch`` function that writes each batch to ``path`` by route and a manifest of its counts beside it."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").partitionBy("route").parquet(f"{path}/batch={number}")
+        counts = batch.groupBy("route").agg(F.count("*").alias("n_rows"), F.min("recv_ns").alias("first_recv_ns"), F.max("recv_ns").alias("last_recv_ns"))
+        counts.coalesce(1).write.mode("overwrite").json(f"{path}/manifest={number}")
+
+    return query_rows.writeStream.foreachBatch(write)
