@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import WORD_BASE, Words, mix, powers, text_bytes, text_chunks, window_hashes, written
 from .components import components
+from .substrings import texts_among
 
 #: Words of a run; similarity of a link; sketches; runs in a sketch.
 RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 32, 7
@@ -121,6 +122,30 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
 
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in text_chunks(batch, "text"):
+            keys, bounds, _ = labelled_runs(Words(*text_bytes(part.column(1))))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))), pa.array(keys.view(np.int64))], names=["rep", "key"])
+
+
+def hopeful(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``members`` (rep, comp, runs, ...) with ``common``, the runs that members of other components hold too.
+
+    Runs of one component only are in no intersection with another's, so
+    ``common`` bounds that of any pair still to be verified; documents whose
+    bound is under SIMILARITY of their own runs are left out.  That spares the
+    pairs of texts that share one passage, or that are edited too much.
+    """
+    ids = written(members.select(F.col("rep").alias("id"), "comp").distinct(), "near")
+    rows = texts_among(texts, ids.select("id")).join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_keys, "rep bigint, key bigint")
+    keys = written(rows.join(ids.withColumnRenamed("id", "rep"), "rep"), "near")
+    alone = keys.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l = h").select("key")
+    own = keys.join(alone, "key").groupBy("rep").agg(F.count("*").alias("alone"))
+    bound = F.col("runs") - F.coalesce("alone", F.lit(0))
+    return members.drop("common").join(own, "rep", "left").withColumn("common", bound).where(F.col("common") >= SIMILARITY * F.col("runs") - 1e-6).drop("alone")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: class_id (the smallest id of its class), n_words, kept (the class's smallest id).
 
@@ -175,8 +200,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labelled = open_members.drop("comp").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
     split = labelled.groupBy("j", "v").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("j", "v")
     rest = written(labelled.join(split, ["j", "v"]), "near")
-    other = rest.select("j", "v", F.col("rep").alias("orep"), F.col("runs").alias("oruns"), F.col("comp").alias("ocomp"))
-    pairs = rest.join(other, ["j", "v"]).where((F.col("rep") < F.col("orep")) & (F.col("comp") != F.col("ocomp")) & near("runs", "oruns")).select(F.col("rep").alias("a"), F.col("orep").alias("b")).distinct()
+    for _ in range(2):  # documents that go make runs of others the only ones
+        rest = written(hopeful(texts, rest), "near")
+    rest = rest.join(reps.select("rep", "sketch"), "rep")
+    other = rest.select("j", "v", F.col("sketch").alias("osketch"), F.col("rep").alias("orep"), F.col("runs").alias("oruns"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"))
+    # a pair that shares several sketches meets at the first of them only
+    once = F.array_position(F.zip_with("sketch", "osketch", lambda x, y: x == y), F.lit(True)) == F.col("j") + 1
+    # an intersection of less than this share of both sizes is under the similarity
+    reach = F.least("common", "ocommon") * (1 + SIMILARITY) >= SIMILARITY * (F.col("runs") + F.col("oruns")) - 1e-6
+    pairs = rest.join(other, ["j", "v"]).where((F.col("rep") < F.col("orep")) & (F.col("comp") != F.col("ocomp")) & near("runs", "oruns") & reach & once).select(F.col("rep").alias("a"), F.col("orep").alias("b"))
     tested = tested.union(verified(pairs.join(tested, ["a", "b"], "left_anti")))
     parts = components(tested.where("ok").select("a", "b"), "near").withColumnRenamed("node", "rep")
     classes = reps.select("c1", "c2", "rep").join(parts, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("class_id"))

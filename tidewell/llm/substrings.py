@@ -308,7 +308,7 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(w.count.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], names=["id", "n_words", "n_removed", "kept_sha256"])
 
 
-def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_among(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of ``texts`` that may be among ``ids``: a bitmap of bounded size spares most others the shuffle."""
     place = F.pmod(F.xxhash64("id"), F.lit(MAP_BITS))
     words = ids.select(place.alias("p")).select(F.expr("p div 32").alias("w"), F.expr("shiftleft(1L, cast(p % 32 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
@@ -346,7 +346,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     later = known.where("id > rep").select("id", F.col("first").alias("low"), F.col("last").alias("high"))
     asked = known.where("id = rep").join(several, "key")
     per_document = written(asked.groupBy("id").agg(F.collect_list(F.struct("first", "last", "key", "hot")).alias("wanted")), "substrings")
-    cut = written(_texts_of(texts, per_document.select("id")).join(per_document, "id").select("id", "text", "wanted").mapInArrow(_cut, "id bigint, first int, key bigint, w1 bigint, w2 bigint, words binary"), "substrings")
+    cut = written(texts_among(texts, per_document.select("id")).join(per_document, "id").select("id", "text", "wanted").mapInArrow(_cut, "id bigint, first int, key bigint, w1 bigint, w2 bigint, words binary"), "substrings")
     size = cut.agg(F.sum(F.octet_length("words") / 8)).first()[0] or 0
     shards = max(1, int(size // SHARD_WORDS) + 1)
     ranges = cut.where("words IS NOT NULL").select("id", "first", "words", F.pmod(F.xxhash64("key"), F.lit(shards)).alias("shard")).groupBy("shard").applyInArrow(_shard, "id bigint, low int, high int")
@@ -354,7 +354,7 @@ def remove_repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smallest = hot.groupBy("w1", "w2").agg(F.min("id").alias("rep"), F.max("id").alias("top")).where("rep < top").drop("top")
     by_window = hot.join(smallest, ["w1", "w2"]).where("id > rep").select("id", F.col("first").alias("low"), F.col("first").alias("high"))
     gone = written(later.union(ranges).union(by_window).groupBy("id").agg(F.collect_list(F.struct("low", "high")).alias("ranges")), "substrings")
-    changed = _texts_of(texts, gone.select("id")).join(gone, "id").select("id", "text", "ranges").mapInArrow(_apply, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    changed = texts_among(texts, gone.select("id")).join(gone, "id").select("id", "text", "ranges").mapInArrow(_apply, "id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
     same = survey.select("id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("digest").alias("kept_sha256")).join(gone.select("id"), "id", "left_anti")
     return changed.union(same).withColumnRenamed("id", id_col)
 
