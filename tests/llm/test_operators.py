@@ -58,7 +58,7 @@ def nothing(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - {"op1_quality"}))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query_equals_sql(spark, name):
     same_rows(registry.QUERIES[name](spark, SF), connect(SF), registry.ORACLES[name])
 
@@ -467,7 +467,7 @@ def test_quantisation_bound_is_rigorous():
 def test_lm_base_and_score(spark, docs, texts, nothing, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 50)
     monkeypatch.setattr(lm, "STEPS", 20)
-    path = registry.tokenizer_path("piece_bpe_32k.model")
+    path = registry.tokenizer_path("byte_bpe_multi_50k.tiktoken")
     learn = F.col("doc_id") % 7 != 2
     got = lm.score_documents(docs, learn, path).collect()
     tokens = lambda t: [*words(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")), 0]

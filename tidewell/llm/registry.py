@@ -92,7 +92,7 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model scores of every document, learned outside the held-out seventh."""
     held = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
-    rows = lm.score_documents(table(spark, sf_dir, "documents"), ~held, tokenizer_path("piece_bpe_32k.model"))
+    rows = lm.score_documents(table(spark, sf_dir, "documents"), ~held, tokenizer_path("byte_bpe_multi_50k.tiktoken"))
     return rows.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
