@@ -479,6 +479,33 @@ def test_lm_base_and_score(spark, docs, texts, nothing, monkeypatch):
     assert lm.score_documents(nothing, learn, path).count() == 0
 
 
+def test_lm_counts_the_subwords_of_all_training_documents(spark, monkeypatch):
+    """Subwords that hardly any part holds still have the corpus's counts."""
+    monkeypatch.setattr(lm, "STEPS", 0)
+    path = registry.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoding = lm.encoder(path)[0]
+    singles = [w for w in (encoding.decode([i]) for i in range(2000, 6000)) if re.fullmatch(" [a-z]{4,}", w) and len(encoding.encode_ordinary(w * 2)) == 2][:80]
+    rows = [(i, w * 400) for i, w in enumerate(singles)]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), F.col("doc_id") < 40, path, train_documents=2).collect()
+    scores = {r.doc_id: r.score for r in got}
+    assert len(singles) == 80 and min(scores[i] for i in range(40)) > max(scores[i] for i in range(40, 80))
+
+
+def test_lm_training_grows_in_parts(spark, monkeypatch):
+    assert [lm.parts_of(n, 2000) * 2000 for n in (0, 1000, 640_000, 6_400_000)] == [2000, 2000, 20_000, 200_000]
+    rng = np.random.default_rng(2)
+    texts = [(i % 3, np.tile(rng.permutation(50), 20).astype(np.uint16).tobytes()) for i in range(30)]
+    sample = spark.createDataFrame(texts, "part int, pieces binary")
+    start = lm.untrained(np.full(300, 5))
+    seen = []
+    monkeypatch.setattr(lm, "mean_of", lambda states, own=lm.mean_of: seen.append(states.num_rows) or own(states))
+    model = lm.fit_parts(start, sample, 3, np.dtype(np.uint16), 40)
+    again = lm.fit_parts(start, sample.repartition(2), 3, np.dtype(np.uint16), 40)
+    assert all(np.array_equal(model.p[k], again.p[k]) for k in model.p)
+    ids, counts = np.frombuffer(b"".join(t for _, t in texts), np.uint16).astype(np.int64), np.full(30, 1000)
+    assert model.score(ids, counts).sum() > 0.95 * start.score(ids, counts).sum() and seen[0] == 3
+
+
 def test_model_is_a_causal_distribution():
     rng = np.random.default_rng(0)
     ids = rng.integers(0, 300, 3000)
