@@ -256,6 +256,21 @@ def test_a_centre_that_is_far_hides_no_link(spark):
     assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()} == brute_classes(rows)
 
 
+def test_short_near_copies_meet(spark):
+    """Near copies of 8 to 60 words: a word added or changed at either end, two words added."""
+    rng = random.Random(5)
+    rows = []
+    for n in [*range(8, 21), 12, 12, 12, 12, 25, 34, 43, 44, 52, 53, 60]:
+        w = sentence(rng, n).split()
+        for v in (w, [*w, "end"], ["start", *w], [*w, "two", "more"], [*w[:-1], "last"]):
+            rows.append((len(rows), " ".join(v)))
+    common = sentence(rng, 9)
+    rows += [(len(rows) + i, f"{common} {sentence(rng, 1 + i % 3)}") for i in range(60)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()} == brute_classes(rows)
+
+
 def test_alignment_respects_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_dups.aligned(a, a) == 1.0

@@ -9,6 +9,12 @@ texts: common labelled runs within a band of diagonals are chained by the
 longest increasing sequence, and the chain over all runs of both texts must
 reach the similarity.
 
+A short text has hardly more runs than a sketch takes, so near copies of it
+would share none.  Short texts are therefore also candidates of each other by
+a prefix filter: with the runs of all of them in one order, rare ones first,
+two texts that reach the similarity share one of the first few of each.  This
+is exact.
+
 Equal texts (equal word sequences) are one class from the start.  Within a
 bucket, candidates first go to its centre only; then every pair of the bucket
 that is still in different components is verified, so no link that could join
@@ -31,6 +37,9 @@ from .substrings import texts_among
 
 #: Words of a run; similarity of a link; sketches; runs in a sketch.
 RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 32, 7
+#: Texts of fewer runs meet all that are near to them by rare runs; those that may be near to one of them have fewer than FEW.
+SHORT = 40
+FEW = int(SHORT / SIMILARITY)
 #: Diagonals on either side, as a share of the longer text and at least so many.
 BAND, LEAST_BAND = 0.25, 64
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -129,6 +138,21 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))), pa.array(keys.view(np.int64))], names=["rep", "key"])
 
 
+def firsts(short: DataFrame) -> DataFrame:
+    """(rep, runs, firsts) of short texts (rep, runs, few) with their keys in ``few``: the first of each one's keys that another holds too.
+
+    Keys are in order of how many texts hold them.  Two texts of the
+    similarity share at least that part of the keys of each, so they share one
+    of the first ``runs`` less that part, plus one.  Keys of one text only are
+    the first of all and are shared with none.
+    """
+    own = written(short.select("rep", "runs", F.explode("few").alias("key")), "near")
+    held = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = own.join(held, "key").groupBy("rep", "runs").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    most = F.col("runs") - F.ceil(F.col("runs") * SIMILARITY - 1e-6) + 1 - (F.col("runs") - F.size("keys"))
+    return shared.where(most > 0).select("rep", "runs", F.transform(F.slice("keys", F.lit(1), most.cast("int")), lambda x: x["key"]).alias("firsts"))
+
+
 def hopeful(texts: DataFrame, members: DataFrame) -> DataFrame:
     """``members`` (rep, comp, runs, ...) with ``common``, the runs that members of other components hold too.
 
@@ -161,13 +185,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             for part in text_chunks(batch, "text"):
                 w = Words(*text_bytes(part.column(1)))
                 keys, bounds, contents = labelled_runs(w)
+                sizes = np.where(np.diff(bounds) < FEW, np.diff(bounds), 0)
+                few = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(keys[np.repeat(sizes > 0, np.diff(bounds))].view(np.int64)))
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * SKETCHES, pa.int32()), pa.array(sketches(keys, bounds).reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents[0].view(np.int64)), pa.array(contents[1].view(np.int64)), pa.array(w.count.astype(np.int64)), pa.array(np.diff(bounds)), lists], names=["id", "c1", "c2", "n_words", "runs", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents[0].view(np.int64)), pa.array(contents[1].view(np.int64)), pa.array(w.count.astype(np.int64)), pa.array(np.diff(bounds)), lists, few], names=["id", "c1", "c2", "n_words", "runs", "sketch", "few"])
 
-    every = written(texts.mapInArrow(sketch, "id bigint, c1 bigint, c2 bigint, n_words bigint, runs bigint, sketch array<bigint>"), "near")
+    every = written(texts.mapInArrow(sketch, "id bigint, c1 bigint, c2 bigint, n_words bigint, runs bigint, sketch array<bigint>, few array<bigint>"), "near")
     known = every.where("id IS NOT NULL")
     reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("runs").alias("runs"), F.min_by("sketch", "id").alias("sketch")), "near")
-    flat = reps.select("rep", "runs", F.posexplode("sketch").alias("j", "v"))
+    short = known.where(F.col("runs") < FEW).groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("runs").alias("runs"), F.min_by("few", "id").alias("few"))
+    first = written(firsts(short), "near")
+    flat = reps.select("rep", "runs", F.posexplode("sketch").alias("j", "v")).unionByName(first.select("rep", "runs", F.lit(SKETCHES).alias("j"), F.explode("firsts").alias("v")))
     shared = flat.groupBy("j", "v").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
     members = written(flat.join(shared.select("j", "v"), ["j", "v"]), "near")
 
@@ -202,10 +230,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = written(labelled.join(split, ["j", "v"]), "near")
     for _ in range(2):  # documents that go make runs of others the only ones
         rest = written(hopeful(texts, rest), "near")
-    rest = rest.join(reps.select("rep", "sketch"), "rep")
-    other = rest.select("j", "v", F.col("sketch").alias("osketch"), F.col("rep").alias("orep"), F.col("runs").alias("oruns"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"))
-    # a pair that shares several sketches meets at the first of them only
-    once = F.array_position(F.zip_with("sketch", "osketch", lambda x, y: x == y), F.lit(True)) == F.col("j") + 1
+    rest = rest.join(reps.select("rep", "sketch"), "rep").join(first.select("rep", "firsts"), "rep", "left")
+    other = rest.select("j", "v", F.col("sketch").alias("osketch"), F.col("firsts").alias("ofirsts"), F.col("rep").alias("orep"), F.col("runs").alias("oruns"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"))
+    # a pair that shares several sketches meets at the first of them only; one that shares none, at the first of its keys
+    place = F.array_position(F.zip_with("sketch", "osketch", lambda x, y: x == y), F.lit(True))
+    once = F.when(F.col("j") < SKETCHES, place == F.col("j") + 1).otherwise((place == 0) & (F.get(F.array_intersect("firsts", "ofirsts"), F.lit(0)) == F.col("v")))
     # an intersection of less than this share of both sizes is under the similarity
     reach = F.least("common", "ocommon") * (1 + SIMILARITY) >= SIMILARITY * (F.col("runs") + F.col("oruns")) - 1e-6
     pairs = rest.join(other, ["j", "v"]).where((F.col("rep") < F.col("orep")) & (F.col("comp") != F.col("ocomp")) & near("runs", "oruns") & reach & once).select(F.col("rep").alias("a"), F.col("orep").alias("b"))
