@@ -271,6 +271,15 @@ def test_short_near_copies_meet(spark):
     assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()} == brute_classes(rows)
 
 
+def test_runs_of_repeated_rows_count_once(spark):
+    rng = random.Random(8)
+    a = sentence(rng, 104).split()
+    texts = [(1, " ".join(a)), (2, " ".join([*a[:-9], *sentence(rng, 9).split()])), (1, " ".join(a))]
+    members = spark.createDataFrame([(1, 1, 100, 0, 0), (2, 2, 100, 0, 0)], "rep long, comp long, runs long, j int, v long")
+    got = {r.rep: r.common for r in near_dups.hopeful(spark.createDataFrame(texts, "id long, text string"), members).collect()}
+    assert got == {1: 91, 2: 91}
+
+
 def test_alignment_respects_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_dups.aligned(a, a) == 1.0

@@ -165,7 +165,7 @@ def hopeful(texts: DataFrame, members: DataFrame) -> DataFrame:
     rows = texts_among(texts, ids.select("id")).join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_keys, "rep bigint, key bigint")
     keys = written(rows.join(ids.withColumnRenamed("id", "rep"), "rep"), "near")
     alone = keys.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l = h").select("key")
-    own = keys.join(alone, "key").groupBy("rep").agg(F.count("*").alias("alone"))
+    own = keys.join(alone, "key").groupBy("rep").agg(F.count_distinct("key").alias("alone"))  # rows may repeat an id
     bound = F.col("runs") - F.coalesce("alone", F.lit(0))
     return members.drop("common").join(own, "rep", "left").withColumn("common", bound).where(F.col("common") >= SIMILARITY * F.col("runs") - 1e-6).drop("alone")
 
