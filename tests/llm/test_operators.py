@@ -280,6 +280,12 @@ def test_runs_of_repeated_rows_count_once(spark):
     assert got == {1: 91, 2: 91}
 
 
+def test_rows_without_id_all_stay(spark):
+    rows = [(1, "one text here"), (1, "one text here"), (None, "a first"), (None, "a second"), (None, "a second"), (2, "another")]
+    one = near_dups.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in one) == [(0, "a first"), (0, "a second"), (0, "a second"), (1, "one text here"), (2, "another")]
+
+
 def test_alignment_respects_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_dups.aligned(a, a) == 1.0

@@ -252,4 +252,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     kept = written(kept, "near")
     rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
     repeated = kept.where("_n > 1 AND _kept_id IS NOT NULL").limit(1).count()
-    return rows.dropDuplicates([id_col]) if repeated else rows
+    if not repeated:
+        return rows
+    null = F.col(f"`{id_col}`").isNull()  # a row without id stands alone
+    return rows.where(~null).dropDuplicates([id_col]).unionByName(rows.where(null))
