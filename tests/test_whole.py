@@ -1,4 +1,4 @@
-from tidewell.plans import catalog, ledgers, ticks  # noqa: F401  (they register their queries)
+from tidewell.plans import catalog, files, ledgers, ticks  # noqa: F401  (they register their queries)
 
 SF = "/root/testdata/sf0.001"
 
@@ -6,3 +6,8 @@ SF = "/root/testdata/sf0.001"
 def test_every_part_has_levels(spark):
     parts = ledgers.table(spark, SF, "part").count()
     assert parts > 50 and catalog.QUERIES["grid_levels_all"](spark, SF).count() == 11 * parts
+
+
+def test_every_row_is_interleaved(spark):
+    rows = ticks.ticks(spark, SF).count()
+    assert rows > 200 and catalog.QUERIES["union_interleave_all"](spark, SF).count() == 2 * rows

@@ -141,6 +141,14 @@ def union_interleave(spark, d):
     return top.withColumn("pos", F.row_number().over(Window.orderBy("seq", "kind")).cast("long")).select("pos", "seq", "kind", "v")
 
 
+@register("union_interleave_all", TICKS + ", u AS (SELECT product, seq, 0 AS kind, price::DOUBLE AS v FROM t UNION ALL SELECT product, seq, 1, size::DOUBLE FROM t) SELECT product, row_number() OVER (PARTITION BY product ORDER BY seq, kind) AS pos, seq, kind::INTEGER AS kind, v FROM u")
+def union_interleave_all(spark, d):
+    """Every row of two interleaved streams, with its position in its product."""
+    t = ticks(spark, d)
+    u = t.select("product", "seq", F.lit(0).alias("kind"), F.col("price").cast("double").alias("v")).unionByName(t.select("product", "seq", F.lit(1).alias("kind"), F.col("size").cast("double").alias("v")))
+    return u.withColumn("pos", F.row_number().over(Window.partitionBy("product").orderBy("seq", "kind")).cast("long")).select("product", "pos", "seq", "kind", "v")
+
+
 @register("latest_n", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def latest_n(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "value")
