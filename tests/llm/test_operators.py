@@ -271,13 +271,61 @@ def test_short_near_copies_meet(spark):
     assert {r.doc_id: r.class_id for r in near_dups.near_duplicates(df).collect()} == brute_classes(rows)
 
 
-def test_runs_of_repeated_rows_count_once(spark):
+@pytest.mark.parametrize("block", [near_dups.BLOCK_RUNS, 700])
+def test_groups_of_several_blocks_lose_no_link(spark, block, monkeypatch):
+    """Near copies around one text, some of them only near to each other, in one block and in many; rows are repeated."""
+    monkeypatch.setattr(near_dups, "BLOCK_RUNS", block)
     rng = random.Random(8)
-    a = sentence(rng, 104).split()
-    texts = [(1, " ".join(a)), (2, " ".join([*a[:-9], *sentence(rng, 9).split()])), (1, " ".join(a))]
-    members = spark.createDataFrame([(1, 1, 100, 0, 0), (2, 2, 100, 0, 0)], "rep long, comp long, runs long, j int, v long")
-    got = {r.rep: r.common for r in near_dups.hopeful(spark.createDataFrame(texts, "id long, text string"), members).collect()}
-    assert got == {1: 91, 2: 91}
+    base, rows = sentence(rng, 120).split(), []
+    for i in range(40):
+        w = list(base)
+        for at in rng.sample(range(0, 120, 6), i % 8):
+            w[at] = f"e{rng.randrange(900)}"
+        rows.append((i, " ".join(w)))
+        if i % 3 == 0:
+            rows.append((100 + i, " ".join([*w[:-1], "last"])))
+    rows += rows[:5]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_dups.near_duplicates(df).collect()
+    assert {r.doc_id: r.class_id for r in got} == brute_classes(rows) and len(got) == len(rows)
+
+
+def test_forest_joins_what_links_join():
+    rng = random.Random(9)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(1000, 9000), 60)
+        sets += [[k for k in base if rng.random() > 0.04] + rng.sample(range(9000, 99999), rng.randrange(8)) for _ in range(rng.randrange(1, 9))]
+    comp = [rng.randrange(len(sets)) for _ in sets]
+    keys, bounds = np.concatenate([np.array(x, np.uint64) for x in sets]), np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+
+    def classes(pairs):
+        label = list(comp)
+        for a, b in pairs:
+            label = [label[a] if x == label[b] else x for x in label]
+        return {frozenset(i for i, x in enumerate(label) if x == y) for y in label}
+
+    links = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if near_dups.aligned(*(np.array(sets[i], np.uint64) for i in (a, b))) >= 0.8]
+    found = near_dups.forest(np.array(comp), keys, bounds)
+    assert classes(found) == classes(links) and len(found) < len(set(comp)) and len(links) > 20
+
+
+def test_sketches_hold_the_least_runs_in_text_order(monkeypatch):
+    rng = np.random.default_rng(4)
+    bounds = np.concatenate([[0], np.cumsum(rng.integers(1, 300, 60))])
+    keys = rng.integers(0, 1 << 63, bounds[-1], dtype=np.uint64)
+
+    def brute(k, seed):
+        least, value = np.sort(np.argsort(near_dups.mix(k ^ seed))[: near_dups.PICKS]), seed
+        for x in k[least]:
+            value = near_dups.mix(np.array([value * near_dups.WORD_BASE + x]))[0]
+        return value
+
+    with np.errstate(over="ignore"):
+        want = np.array([[brute(keys[a:b], seed) for seed in near_dups._SEEDS] for a, b in itertools.pairwise(bounds)])
+    assert (near_dups.sketches(keys, bounds) == want).all()
+    monkeypatch.setattr(near_dups, "DRAWN", 3)  # most draws are too few, and are made up
+    assert (near_dups.sketches(keys, bounds) == want).all()
 
 
 def test_rows_without_id_all_stay(spark):

@@ -15,10 +15,15 @@ a prefix filter: with the runs of all of them in one order, rare ones first,
 two texts that reach the similarity share one of the first few of each.  This
 is exact.
 
-Equal texts (equal word sequences) are one class from the start.  Within a
-bucket, candidates first go to its centre only; then every pair of the bucket
-that is still in different components is verified, so no link that could join
-two components is left out and pairs inside a component need no work.
+Equal texts (equal word sequences) are one class from the start.  The texts
+of all buckets whose smallest id is the same are one group, and every pair
+that shares a bucket is in such a group.  A group is dealt into blocks of
+bounded size with its smallest text in each.  A block's texts travel as run
+keys; they are first held against the smallest one, then every pair in
+different components is intersected in numpy, unless what the other
+components hold of a text bounds it under the similarity.  Pairs of different
+blocks meet in tiles, for groups of several blocks that are still split.
+Blocks and tiles return a spanning forest, never their pairs.
 """
 
 from __future__ import annotations
@@ -40,6 +45,8 @@ RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 32, 7
 #: Texts of fewer runs meet all that are near to them by rare runs; those that may be near to one of them have fewer than FEW.
 SHORT = 40
 FEW = int(SHORT / SIMILARITY)
+#: Run keys of one block (expected number); run keys of a text that a sketch's runs are looked for among (expected number).
+BLOCK_RUNS, DRAWN = 1 << 19, 24
 #: Diagonals on either side, as a share of the longer text and at least so many.
 BAND, LEAST_BAND = 0.25, 64
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, SKETCHES, dtype=np.uint64)
@@ -78,26 +85,40 @@ def labelled_runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return keys, bounds, contents
 
 
+def mixed(keys: np.ndarray, seed: np.uint64, room: np.ndarray) -> np.ndarray:
+    """``mix(keys ^ seed)`` with a given array for what lies between; fresh pages cost more than the work on them."""
+    h = keys ^ seed
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h ^= np.right_shift(h, np.uint64(shift), out=room)
+        h *= np.uint64(factor)
+    h ^= np.right_shift(h, np.uint64(31), out=room)
+    return h
+
+
 def sketches(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A row of sketches for each text."""
-    n = len(bounds) - 1
-    size, out = np.diff(bounds), np.zeros((n, SKETCHES), dtype=np.uint64)
+    n, size = len(bounds) - 1, np.diff(bounds)
+    out = np.zeros((n, SKETCHES), dtype=np.uint64)
     if not n:
         return out
+    doc, take = np.repeat(np.arange(n), size), np.minimum(size, PICKS)
+    begin = np.cumsum(take) - take
+    limit = np.where(size > DRAWN, _MAX // size.astype(np.uint64) * np.uint64(DRAWN), _MAX)[doc]
+    room = np.empty_like(keys)
     for j, seed in enumerate(_SEEDS):
-        h = mix(keys ^ seed)
-        picks = np.full((n, PICKS), len(keys), dtype=np.int64)
-        for r in range(PICKS):
-            least = np.minimum.reduceat(h, bounds[:-1])
-            hits = np.flatnonzero(h == np.repeat(least, size))
-            at = hits[np.searchsorted(hits, bounds[:-1])]
-            picks[:, r] = np.where(size > r, at, len(keys))
-            h[at] = _MAX
-        picks.sort(axis=1)
+        h = mixed(keys, seed, room)
+        at = np.flatnonzero(h <= limit)
+        got = np.bincount(doc[at], minlength=n)
+        if (got < take).any():  # fewer than asked for lie under the limit
+            at = np.flatnonzero((h <= limit) | (got < take)[doc])
+            got = np.bincount(doc[at], minlength=n)
+        order = np.argsort(doc[at].astype(np.uint64) << np.uint64(40) | h[at] >> np.uint64(24))
+        rank = np.arange(len(at)) - np.repeat(np.cumsum(got) - got, got)
+        picks = np.sort(at[order[rank < PICKS]])  # back in text order
         value = np.full(n, seed, dtype=np.uint64)
         for r in range(PICKS):
-            has = picks[:, r] < len(keys)
-            value[has] = mix(value[has] * WORD_BASE + keys[picks[has, r]])
+            has = take > r
+            value[has] = mix(value[has] * WORD_BASE + keys[picks[begin[has] + r]])
         out[:, j] = value
     return out
 
@@ -123,51 +144,104 @@ def aligned(a: np.ndarray, b: np.ndarray) -> float:
     return chain / (whole - chain)
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in text_chunks(batch, "ta"):
-            left, right = (labelled_runs(Words(*text_bytes(part.column(c)))) for c in (2, 3))
-            ok = [aligned(left[0][left[1][i] : left[1][i + 1]], right[0][right[1][i] : right[1][i + 1]]) >= SIMILARITY for i in range(part.num_rows)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "ok"])
+def forest(comp: np.ndarray, keys: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
+    """Linked pairs of texts that join all components which links between texts of different ones join; the keys of text i are keys[bounds[i]:bounds[i+1]].
+
+    Text 0 is held against all others first.
+    """
+    _, root = np.unique(comp, return_inverse=True)
+    distinct, ids = np.unique(keys, return_inverse=True)
+    size, found = np.diff(bounds), []
+    live, flat, starts = np.arange(len(size)), ids, bounds[:-1]
+    mark = np.zeros(len(distinct), dtype=np.int64)
+
+    def compare(x: int) -> None:
+        own = ids[bounds[x] : bounds[x + 1]]
+        mark[own] = 1
+        common = np.add.reduceat(mark[flat], starts)
+        mark[own] = 0
+        hopeful = np.flatnonzero((common / (size[live] + size[x] - common) >= SIMILARITY) & (root[live] != root[x]))
+        for y in live[hopeful[np.argsort(-common[hopeful], kind="stable")]].tolist():
+            if root[y] != root[x] and aligned(keys[bounds[x] : bounds[x + 1]], keys[bounds[y] : bounds[y + 1]]) >= SIMILARITY:
+                found.append((x, y))
+                root[root == root[y]] = root[x]
+
+    compare(0)
+    while True:  # keys that one component alone holds are in no intersection with another's
+        of = np.repeat(root[live], size[live])
+        low, high = np.full(len(distinct), len(root)), np.full(len(distinct), -1)
+        np.minimum.at(low, flat, of)
+        np.maximum.at(high, flat, of)
+        keep = np.add.reduceat(low[flat] != high[flat], starts, dtype=np.int64) >= SIMILARITY * size[live] - 1e-6
+        if keep.all():
+            break
+        flat, live = flat[np.repeat(keep, size[live])], live[keep]
+        if not len(live):
+            return found
+        starts = np.cumsum(size[live]) - size[live]
+    main = np.bincount(root[live]).argmax()  # of two texts in different components one is outside this
+    for x in live[root[live] != main].tolist():
+        compare(x)
+    return found
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, c1, keys): the run keys of each text in order."""
     for batch in batches:
         for part in text_chunks(batch, "text"):
-            keys, bounds, _ = labelled_runs(Words(*text_bytes(part.column(1))))
-            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.repeat(np.arange(part.num_rows), np.diff(bounds)))), pa.array(keys.view(np.int64))], names=["rep", "key"])
+            keys, bounds, contents = labelled_runs(Words(*text_bytes(part.column(1))))
+            packed = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer((bounds * 8).astype(np.int64).tobytes()), pa.py_buffer(keys.tobytes())])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(contents[0].view(np.int64)), packed.cast(pa.binary())], names=["rep", "c1", "keys"])
+
+
+def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b) for each edge of the forests of rows tile, rep, comp, keys that come in order of their tiles, each tile's main text first."""
+    held: list[pa.Table] = []
+
+    def edges() -> pa.RecordBatch:
+        rows = pa.concat_tables(held).combine_chunks()
+        held.clear()
+        rep, raw = rows.column("rep").to_numpy(), [x.as_buffer() for x in rows.column("keys").combine_chunks()]
+        bounds = np.concatenate([[0], np.cumsum([len(x) // 8 for x in raw])])
+        pairs = forest(rows.column("comp").to_numpy(), np.frombuffer(b"".join(raw), np.uint64), bounds) if len(rep) > 1 else []
+        a, b = np.array([x for x, _ in pairs], dtype=np.int64), np.array([y for _, y in pairs], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[a], rep[b])), pa.array(np.maximum(rep[a], rep[b]))], names=["a", "b"])
+
+    last = None
+    for batch in batches:
+        tile = batch.column(0).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(tile)]
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            if hi > lo:
+                if held and tile[lo] != last:
+                    yield edges()
+                held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+                last = tile[lo]
+    if held:
+        yield edges()
+
+
+def joined(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): edges of the forests of ``members`` (tile, rep, c1, comp, main), whose keys are made from ``texts``."""
+    keys = texts_among(texts, members.select(F.col("rep").alias("id"))).where("id IS NOT NULL").mapInArrow(_keys, "rep bigint, c1 bigint, keys binary")
+    once = keys.groupBy("rep", "c1").agg(F.first("keys").alias("keys"))  # rows may repeat an id
+    rows = members.join(once, ["rep", "c1"]).repartition("tile").sortWithinPartitions("tile", F.desc("main"), "rep", "c1")
+    return rows.select("tile", "rep", "comp", "keys").mapInArrow(_forests, "a bigint, b bigint")
 
 
 def firsts(short: DataFrame) -> DataFrame:
-    """(rep, runs, firsts) of short texts (rep, runs, few) with their keys in ``few``: the first of each one's keys that another holds too.
+    """(rep, c1, runs, firsts) of short texts (rep, c1, runs, few) with their keys in ``few``: the first of each one's keys that another holds too.
 
     Keys are in order of how many texts hold them.  Two texts of the
     similarity share at least that part of the keys of each, so they share one
     of the first ``runs`` less that part, plus one.  Keys of one text only are
     the first of all and are shared with none.
     """
-    own = written(short.select("rep", "runs", F.explode("few").alias("key")), "near")
+    own = written(short.select("rep", "c1", "runs", F.explode("few").alias("key")), "near")
     held = own.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = own.join(held, "key").groupBy("rep", "runs").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
+    shared = own.join(held, "key").groupBy("rep", "c1", "runs").agg(F.array_sort(F.collect_list(F.struct("n", "key"))).alias("keys"))
     most = F.col("runs") - F.ceil(F.col("runs") * SIMILARITY - 1e-6) + 1 - (F.col("runs") - F.size("keys"))
-    return shared.where(most > 0).select("rep", "runs", F.transform(F.slice("keys", F.lit(1), most.cast("int")), lambda x: x["key"]).alias("firsts"))
-
-
-def hopeful(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """``members`` (rep, comp, runs, ...) with ``common``, the runs that members of other components hold too.
-
-    Runs of one component only are in no intersection with another's, so
-    ``common`` bounds that of any pair still to be verified; documents whose
-    bound is under SIMILARITY of their own runs are left out.  That spares the
-    pairs of texts that share one passage, or that are edited too much.
-    """
-    ids = written(members.select(F.col("rep").alias("id"), "comp").distinct(), "near")
-    rows = texts_among(texts, ids.select("id")).join(ids.select("id"), "id", "left_semi").select("id", "text").mapInArrow(_keys, "rep bigint, key bigint")
-    keys = written(rows.join(ids.withColumnRenamed("id", "rep"), "rep"), "near")
-    alone = keys.groupBy("key").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l = h").select("key")
-    own = keys.join(alone, "key").groupBy("rep").agg(F.count_distinct("key").alias("alone"))  # rows may repeat an id
-    bound = F.col("runs") - F.coalesce("alone", F.lit(0))
-    return members.drop("common").join(own, "rep", "left").withColumn("common", bound).where(F.col("common") >= SIMILARITY * F.col("runs") - 1e-6).drop("alone")
+    return shared.where(most > 0).select("rep", "c1", "runs", F.transform(F.slice("keys", F.lit(1), most.cast("int")), lambda x: x["key"]).alias("firsts"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,51 +269,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = written(known.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("runs").alias("runs"), F.min_by("sketch", "id").alias("sketch")), "near")
     short = known.where(F.col("runs") < FEW).groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("runs").alias("runs"), F.min_by("few", "id").alias("few"))
     first = written(firsts(short), "near")
-    flat = reps.select("rep", "runs", F.posexplode("sketch").alias("j", "v")).unionByName(first.select("rep", "runs", F.lit(SKETCHES).alias("j"), F.explode("firsts").alias("v")))
-    shared = flat.groupBy("j", "v").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    members = written(flat.join(shared.select("j", "v"), ["j", "v"]), "near")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """(a, b, ok) of distinct candidate pairs a < b, judged on their whole texts."""
-        left = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
-        right = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-        return written(both.mapInArrow(_verify, "a bigint, b bigint, ok boolean"), "near")
-
-    near = lambda x, y: (F.col(x) <= F.col(y) / SIMILARITY) & (F.col(y) <= F.col(x) / SIMILARITY)
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    tested = None
-    for turn in range(2):  # a centre for each bucket; then another one for those that are still split
-        if turn == 0:
-            open_members = members.withColumn("comp", F.col("rep"))
-        else:
-            parts = components(tested.where("ok").select("a", "b"), "near")
-            labelled = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-            split = labelled.groupBy("j", "v").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("j", "v")
-            open_members = written(labelled.join(split, ["j", "v"]), "near")
-        pick = F.min(F.struct("rep", "runs", "comp")) if turn == 0 else F.max(F.struct("comp", "rep", "runs"))
-        centre = open_members.groupBy("j", "v").agg(pick.alias("c")).select("j", "v", F.col("c.rep").alias("crep"), F.col("c.runs").alias("cruns"), F.col("c.comp").alias("ccomp"))
-        pairs = open_members.join(centre, ["j", "v"]).where((F.col("comp") != F.col("ccomp")) & near("runs", "cruns")).select(*ordered("rep", "crep")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        fresh = verified(pairs)
-        tested = fresh if tested is None else tested.union(fresh)
-    parts = components(tested.where("ok").select("a", "b"), "near")
-    labelled = open_members.drop("comp").join(parts.withColumnRenamed("node", "rep"), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-    split = labelled.groupBy("j", "v").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l < h").select("j", "v")
-    rest = written(labelled.join(split, ["j", "v"]), "near")
-    for _ in range(2):  # documents that go make runs of others the only ones
-        rest = written(hopeful(texts, rest), "near")
-    rest = rest.join(reps.select("rep", "sketch"), "rep").join(first.select("rep", "firsts"), "rep", "left")
-    other = rest.select("j", "v", F.col("sketch").alias("osketch"), F.col("firsts").alias("ofirsts"), F.col("rep").alias("orep"), F.col("runs").alias("oruns"), F.col("comp").alias("ocomp"), F.col("common").alias("ocommon"))
-    # a pair that shares several sketches meets at the first of them only; one that shares none, at the first of its keys
-    place = F.array_position(F.zip_with("sketch", "osketch", lambda x, y: x == y), F.lit(True))
-    once = F.when(F.col("j") < SKETCHES, place == F.col("j") + 1).otherwise((place == 0) & (F.get(F.array_intersect("firsts", "ofirsts"), F.lit(0)) == F.col("v")))
-    # an intersection of less than this share of both sizes is under the similarity
-    reach = F.least("common", "ocommon") * (1 + SIMILARITY) >= SIMILARITY * (F.col("runs") + F.col("oruns")) - 1e-6
-    pairs = rest.join(other, ["j", "v"]).where((F.col("rep") < F.col("orep")) & (F.col("comp") != F.col("ocomp")) & near("runs", "oruns") & reach & once).select(F.col("rep").alias("a"), F.col("orep").alias("b"))
-    tested = tested.union(verified(pairs.join(tested, ["a", "b"], "left_anti")))
-    parts = components(tested.where("ok").select("a", "b"), "near").withColumnRenamed("node", "rep")
+    flat = reps.select("rep", "c1", "runs", F.posexplode("sketch").alias("j", "v")).unionByName(first.select("rep", "c1", "runs", F.lit(SKETCHES).alias("j"), F.explode("firsts").alias("v")))
+    shared = flat.groupBy("j", "v").agg(F.min("rep").alias("centre"), F.max("rep").alias("high")).where("centre < high").drop("high")
+    groups = written(flat.join(shared, ["j", "v"]).select("centre", "rep", "c1", "runs").distinct(), "near")
+    main = F.col("rep") == F.col("centre")
+    blocks = written(groups.groupBy("centre").agg(F.ceil(F.sum("runs") / BLOCK_RUNS).alias("blocks")).where("blocks > 1"), "near")
+    dealt = groups.join(blocks, "centre", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    place = F.pmod(F.xxhash64("rep", "c1"), F.col("blocks"))
+    dealt = dealt.withColumn("block", F.explode(F.when(main, F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).otherwise(F.array(place))))
+    own = F.xxhash64("centre", "block").alias("tile")  # two groups in one tile would only be compared as well
+    edges = written(joined(dealt.select(own, "rep", "c1", F.col("rep").alias("comp"), main.alias("main")), texts), "near")
+    parts = components(edges, "near")
+    if blocks.limit(1).count():  # pairs of different blocks
+        wide = groups.join(blocks, "centre").join(parts.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        wide = wide.join(parts.select(F.col("node").alias("centre"), F.col("component").alias("most")), "centre", "left").withColumn("inner", F.col("comp") == F.coalesce("most", "centre"))
+        runs = lambda inner: F.greatest(F.ceil(F.sum(F.when(F.col("inner") == inner, F.col("runs")).otherwise(0)) / BLOCK_RUNS), F.lit(1))
+        split = wide.groupBy("centre").agg(runs(True).alias("n"), runs(False).alias("m"), F.bool_and("inner").alias("one")).where("NOT one").drop("one")
+        wide = wide.drop("blocks").join(split, "centre")
+        at = F.pmod(F.xxhash64("rep", "c1"), F.when(F.col("inner"), F.col("n")).otherwise(F.col("m")))
+        upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+        cell = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"))
+        # texts of the centre's component meet the others; the others meet each other
+        outer = F.concat(F.transform(upto("n"), lambda x: cell(0, x, at)), F.transform(upto("m"), lambda y: cell(1, F.least(at, y), F.greatest(at, y))))
+        tiles = wide.withColumn("cell", F.explode(F.when(F.col("inner"), F.transform(upto("m"), lambda y: cell(0, at, y))).otherwise(outer)))
+        more = joined(tiles.select(F.xxhash64("centre", "cell").alias("tile"), "rep", "c1", "comp", F.lit(False).alias("main")), texts)
+        parts = components(written(edges.union(more), "near"), "near")
+    parts = parts.withColumnRenamed("node", "rep")
     classes = reps.select("c1", "c2", "rep").join(parts, "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("class_id"))
     out = every.select("id", "c1", "c2", "n_words").join(classes, ["c1", "c2"], "left")
     own = F.when(F.col("id").isNotNull(), F.col("class_id"))
