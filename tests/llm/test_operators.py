@@ -599,6 +599,24 @@ def test_model_is_a_causal_distribution():
     assert one[0] == pytest.approx(two[0], abs=1e-4)
 
 
+@pytest.mark.parametrize("scale", [1, 40])
+def test_score_is_the_plain_loop(scale):
+    """Token by token through ``forward``, also where weights are so large that exponents must be shifted."""
+    rng = np.random.default_rng(1)
+    ids, counts = rng.integers(0, 300, 400), np.array([1, 39, 40, 41, 107, 172])
+    m = lm.train(ids, counts, 400, steps=20)
+    m.p = {k: v * np.float32(scale if k in ("q", "u") else 1) for k, v in m.p.items()}
+    got, begin = m.score(ids, counts), 0
+    for i, n in enumerate(counts):
+        text, total, step = ids[begin : begin + n], 0.0, lm.STRIDE
+        for t in range(n):
+            nth = 0 if t < lm.WINDOW else (t - (lm.WINDOW - step)) // step
+            seen = [lm.INPUTS if u == 0 else m.input_of[text[u - 1]] for u in range(nth * step, t + 1)]
+            total += m.forward(np.array([seen]))["z"][0, -1, m.class_of[text[t]]] + m.within[text[t]]
+        assert got[i] == pytest.approx(total / math.log(10), rel=2e-4)
+        begin += n
+
+
 def test_windows_score_every_token_once():
     counts = np.array([1, 39, 40, 41, 72, 73, 200])
     _, targets, scored, text = lm.windows(np.arange(counts.sum()), counts, -1)
