@@ -617,6 +617,22 @@ def test_score_is_the_plain_loop(scale):
         begin += n
 
 
+@pytest.mark.parametrize("cached", [1 << 19, 30])
+def test_subwords_decode_to_their_texts(texts, cached, monkeypatch):
+    """Spans cut before white space, looked up or not: the same ids, that give back every text."""
+    monkeypatch.setattr(lm, "CACHED", cached)
+    path = registry.tokenizer_path("byte_bpe_multi_50k.tiktoken")
+    encoding, end = lm.encoder(path)
+    pieces, rows = lm.Pieces(path), [t or "" for _, t in texts if len(t or "") < 5000] + ["  two  spaces \n", "\n", "a\n\n b\t", ""]
+    for part in (rows[:10], rows[10:], rows, []):
+        raw = [t.encode() for t in part]
+        ids, counts = pieces(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]).astype(np.int64))
+        assert len(counts) == len(part) and counts.sum() == len(ids)
+        for t, own in zip(part, np.split(ids, np.cumsum(counts)[:-1]), strict=len(part) > 0):
+            want = [i for x in re.findall(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", t) for i in encoding.encode_ordinary(x)]
+            assert own.tolist() == [*want, end] and encoding.decode(want) == t
+
+
 def test_windows_score_every_token_once():
     counts = np.array([1, 39, 40, 41, 72, 73, 200])
     _, targets, scored, text = lm.windows(np.arange(counts.sum()), counts, -1)
