@@ -136,10 +136,13 @@ def test_candle_csv(spark, tmp_path):
 
 
 def test_candles_first_wins_and_tail(spark):
-    rows = [("a", 1, "1.00"), ("a", 2, "1.02"), ("b", 2, "9.99"), ("b", 3, "1.03"), ("b", 4, "1.04")]
-    df = spark.createDataFrame([(f"2026-01-01T00:0{m}:00Z", "BTC-USD", "price_only_fallback", "p", path, close) for path, m, close in rows], "start_ts string, product_id string, source_kind string, source_provider string, source_path string, close string")
-    got = candles.load_candles(df, "BTC-USD", tail_rows=3).orderBy("start_ts").collect()
-    assert [r.close for r in got] == ["1.02", "1.03", "1.04"]
+    """Hours 5 to 9 in three files; two files hold hour 7, and one of them holds it twice."""
+    rows = [("x/1", 5, "20.5"), ("x/1", 7, "21.5"), ("x/1", 7, "0"), ("x/2", 7, "77"), ("x/2", 8, "22.5"), ("x/3", 9, "23.5"), ("x/3", 6, "24.5")]
+    df = spark.createDataFrame([(f"2025-03-02T0{h}:00:00Z", "SOL-EUR", "price_only_fallback", "q", path, n, close) for n, (path, h, close) in enumerate(rows)], "start_ts string, product_id string, source_kind string, source_provider string, source_path string, source_line long, close string")
+    load = lambda **kw: [r.close for r in candles.load_candles(df, "SOL-EUR", **kw).orderBy("start_ts").collect()]
+    assert load() == ["20.5", "24.5", "21.5", "22.5", "23.5"]
+    assert load(tail_rows=2) == ["22.5", "23.5"] and load(max_rows=3) == ["20.5", "21.5", "22.5"]
+    assert load(start="2025-03-02T08:00:00+01:00", end="2025-03-02T09:00:00Z") == ["21.5", "22.5"]
 
 
 def test_rest_source(spark):

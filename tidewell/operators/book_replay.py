@@ -1,10 +1,13 @@
-"""Gap-aware order-book reconstruction: envelopes in, book states, quality events and validity windows out.
+"""Gap-aware order-book reconstruction: envelopes in, book states, quality events, ticker checks and validity windows out.
 
 The state machine is one pure step per envelope.  A book is invalid until a
 snapshot; any sequence defect, stale or backward clock, bad update or broken
-invariant (empty side, locked, crossed) makes it invalid again until the next
-snapshot.  All updates of an envelope are applied before it is judged.  The
-same step runs in batch, one group per stream, and in Structured Streaming.
+invariant (empty side, locked, crossed) empties it and makes it invalid again
+until the next snapshot.  A number below the last one that isn't the same
+message again is a reconnect: a new epoch begins with that envelope.  All
+updates of an envelope are parsed before the first is applied, and all are
+applied before the book is judged.  The same step runs in batch, one group
+per stream, and in Structured Streaming.
 """
 
 from __future__ import annotations
@@ -27,6 +30,28 @@ class ReplayConfig:
     max_gap_ns: int | None = None
     #: Gaps of a filtered sequence are reported but don't invalidate.
     filtered_sequence: bool = False
+    #: A ticker's best prices agree with the book's within this.
+    ticker_tolerance: Decimal = Decimal(0)
+    #: Numbers of an epoch whose messages are remembered (None: all); older ones seen again count as a reconnect.
+    lookback: int | None = None
+
+
+@dataclass
+class Message:
+    """One envelope as the replay sees it; ``events`` of its product as {snapshot, updates: [(side, price, quantity)]}."""
+
+    seq: int | None
+    ns: int | None
+    events: list[dict] | None = None
+    #: The line is no message; the events can't be read; the number or the time is there but malformed.
+    error: str | None = None
+    event_error: str | None = None
+    bad_seq: bool = False
+    bad_time: bool = False
+    #: Of a book channel; the message's identity; (best bid, best ask) of the product's tickers.
+    l2: bool | None = None
+    digest: Any = None
+    tickers: list[tuple] = ()
 
 
 @dataclass
@@ -35,69 +60,126 @@ class Replay:
     book: Book = field(default_factory=Book)
     valid: bool = False
     window: int = 0
+    epoch: int = 0
     opened: tuple[int, int] | None = None
     states: int = 0
     last_seq: int | None = None
     last_ns: int | None = None
     since_emit: int = 0
     good: tuple[int | None, int | None] = (None, None)
+    seen: dict[int, Any] = field(default_factory=dict)
 
     def _row(self, kind: str, seq: int | None, ns: int | None, reason: str | None = None, **more: Any) -> dict[str, Any]:
-        return {"kind": kind, "seq": seq, "ns": ns, "window_id": self.window if self.window else None, "reason": reason, **more}
+        return {"kind": kind, "seq": seq, "ns": ns, "epoch": self.epoch, "window_id": self.window if self.window else None, "reason": reason, **more}
+
+    def _close(self, seq: int | None, ns: int | None, reason: str) -> list[dict]:
+        self.valid = False
+        return [self._row("window", seq, ns, reason, first_seq=self.opened[0], first_ns=self.opened[1], last_seq=self.good[0], last_ns=self.good[1], states=self.states)]
 
     def _invalidate(self, seq: int | None, ns: int | None, reason: str) -> list[dict]:
         rows = [self._row("quality", seq, ns, reason)]
         if self.valid:
-            rows.append(self._row("window", seq, ns, reason, first_seq=self.opened[0], first_ns=self.opened[1], last_seq=self.good[0], last_ns=self.good[1], states=self.states))
-        self.valid = False
+            rows += self._close(seq, ns, reason)
+        self.book.clear()
+        self.since_emit = 0
         return rows
 
-    def step(self, seq: int | None, ns: int | None, events: list[dict] | None, error: str | None = None) -> list[dict]:
-        """One envelope: events of this product as {snapshot, updates: [(side, price, quantity)]}; None for other channels."""
-        rows: list[dict] = []
-        if error:
-            return self._invalidate(seq, ns, error)
-        if ns is not None and self.last_ns is not None:
-            if ns < self.last_ns:
-                rows += self._invalidate(seq, ns, "clock_regression")
-            elif self.config.max_gap_ns is not None and ns - self.last_ns > self.config.max_gap_ns:
-                rows += self._invalidate(seq, ns, "stale_gap")
-        usable = True
-        if seq is not None and self.last_seq is not None and seq != self.last_seq + 1:
-            if seq > self.last_seq:
-                rows += [self._row("quality", seq, ns, "sequence_gap")] if self.config.filtered_sequence else self._invalidate(seq, ns, "sequence_gap")
+    def _clock(self, m: Message) -> tuple[list[dict], bool]:
+        """(rows, usable): time must be there for a numbered message, and may neither go back nor stand still for too long."""
+        rows, usable = [], True
+        if m.bad_seq:
+            rows, usable = rows + self._invalidate(m.seq, m.ns, "malformed_sequence"), False
+        if m.seq is not None and m.ns is None:
+            rows, usable = rows + self._invalidate(m.seq, m.ns, "malformed_timestamp" if m.bad_time else "missing_timestamp"), False
+        if m.ns is not None:
+            if self.last_ns is not None and m.ns < self.last_ns:
+                rows, usable = rows + self._invalidate(m.seq, m.ns, "clock_regression"), False
+            elif self.last_ns is not None and self.config.max_gap_ns is not None and m.ns - self.last_ns > self.config.max_gap_ns:
+                rows += self._invalidate(m.seq, m.ns, "stale_gap")
+            self.last_ns = m.ns
+        return rows, usable
+
+    def _number(self, m: Message) -> tuple[list[dict], bool]:
+        """(rows, usable): each number once, none left out; a smaller one begins a new epoch."""
+        if m.seq is None:
+            if m.bad_seq:
+                return [], False
+            if m.l2:
+                return self._invalidate(m.seq, m.ns, "missing_sequence"), False
+            return [self._row("quality", m.seq, m.ns, "unsequenced_control")], True
+        rows, last = [], self.last_seq
+        if m.seq in self.seen and self.seen[m.seq] == m.digest:
+            return self._invalidate(m.seq, m.ns, "sequence_duplicate"), False
+        if last is not None and m.seq < last:
+            self.epoch, self.seen, last = self.epoch + 1, {}, None
+            rows += self._invalidate(m.seq, m.ns, "sequence_regression")
+        elif m.seq in self.seen:
+            return self._invalidate(m.seq, m.ns, "sequence_conflict"), False
+        if last is not None and m.seq > last + 1:
+            rows += [self._row("quality", m.seq, m.ns, "sequence_gap")] if self.config.filtered_sequence else self._invalidate(m.seq, m.ns, "sequence_gap")
+        self.last_seq, self.seen[m.seq] = m.seq, m.digest
+        if self.config.lookback is not None and len(self.seen) > self.config.lookback:
+            del self.seen[next(iter(self.seen))]
+        return rows, True
+
+    def _tickers(self, m: Message) -> list[dict]:
+        """How each ticker's best prices agree with the book's; only prices that a book could have are compared."""
+        rows = []
+        for bid, ask in m.tickers if self.valid else ():
+            if bid is None or ask is None:
+                rows.append(self._row("ticker", m.seq, m.ns, "without_bbo"))
+            elif bid <= 0 or ask <= 0 or bid >= ask:
+                rows.append(self._row("ticker", m.seq, m.ns, "rejected_bbo"))
             else:
-                rows += self._invalidate(seq, ns, "sequence_duplicate" if seq == self.last_seq else "sequence_regression")
-                usable = False
-        if usable:
-            self.last_seq = seq if seq is not None else self.last_seq
-        self.last_ns = ns if ns is not None and (self.last_ns is None or ns >= self.last_ns) else self.last_ns
-        if usable and self.valid and not events:
-            self.good = (seq, ns)  # other channels carry the window on
-        if not usable or not events:
+                best = self.book.best("bid"), self.book.best("ask")
+                off = abs(best[0] - bid), abs(best[1] - ask)
+                reason = "exact" if off == (0, 0) else "within_tolerance" if max(off) <= self.config.ticker_tolerance else "mismatch"
+                rows.append(self._row("ticker", m.seq, m.ns, reason, best_bid=best[0], best_ask=best[1], bid_delta=off[0], ask_delta=off[1]))
+        return rows
+
+    def step(self, seq: int | None, ns: int | None, events: list[dict] | None, error: str | None = None) -> list[dict]:
+        """``apply`` of a message that has only these; one with events is of a book channel."""
+        return self.apply(Message(seq, ns, events, error, l2=bool(events), digest=repr(events)))
+
+    def apply(self, m: Message) -> list[dict]:
+        """One envelope."""
+        if m.error:
+            return self._invalidate(m.seq, m.ns, m.error)
+        rows, in_time = self._clock(m)
+        more, usable = self._number(m)
+        rows += more
+        if not (in_time and usable):
+            return rows
+        rows += self._tickers(m)
+        if m.event_error:
+            return rows + self._invalidate(m.seq, m.ns, m.event_error)
+        if not m.events:
+            if self.valid:
+                self.good = (m.seq, m.ns)  # other channels and products carry the window on
             return rows
-        snapshot = any(e["snapshot"] for e in events)
+        if any(side is None or price is None or quantity is None or price <= 0 or quantity < 0 for e in m.events for side, price, quantity in e["updates"]):
+            return rows + self._invalidate(m.seq, m.ns, "bad_update")
+        snapshot = any(e["snapshot"] for e in m.events)
         if not self.valid and not snapshot:
-            return [*rows, self._row("quality", seq, ns, "update_ignored_while_invalid")]
-        for e in events:
+            return [*rows, self._row("quality", m.seq, m.ns, "update_ignored_while_invalid")]
+        for e in m.events:
             if e["snapshot"]:
                 self.book.clear()
             for side, price, quantity in e["updates"]:
-                if side is None or price is None or quantity is None or price <= 0 or quantity < 0:
-                    return rows + self._invalidate(seq, ns, "bad_update")
                 self.book.set(side, price, quantity)
         defect = self.book.defect()
         if defect:
-            return rows + self._invalidate(seq, ns, defect)
-        if not self.valid:
-            self.valid, self.opened, self.states = True, (seq, ns), 0
-            self.window += 1
+            return rows + self._invalidate(m.seq, m.ns, defect)
+        if snapshot:
+            if self.valid:
+                rows += self._close(m.seq, m.ns, "fresh_snapshot")
+            self.valid, self.opened, self.states, self.window = True, (m.seq, m.ns), 0, self.window + 1
         self.states += 1
-        self.good = (seq, ns)
-        self.since_emit = 0 if snapshot else self.since_emit + 1
+        self.good = (m.seq, m.ns)
+        self.since_emit += 1
         if snapshot or self.since_emit >= self.config.emit_every:
             self.since_emit = 0
-            rows.append(self._state(seq, ns))
+            rows.append(self._state(m.seq, m.ns))
         return rows
 
     def _state(self, seq: int | None, ns: int | None) -> dict:
@@ -108,14 +190,11 @@ class Replay:
 
     def finish(self) -> list[dict]:
         """The open window, closed by the end of the input."""
-        if not self.valid:
-            return []
-        self.valid = False
-        return [self._row("window", *self.good, "end_of_input", first_seq=self.opened[0], first_ns=self.opened[1], last_seq=self.good[0], last_ns=self.good[1], states=self.states)]
+        return self._close(*self.good, "end_of_input") if self.valid else []
 
 
 _LEVELS = "array<struct<price:double,quantity:double>>"
-RESULT = f"kind string, seq bigint, ns bigint, window_id bigint, reason string, first_seq bigint, first_ns bigint, last_seq bigint, last_ns bigint, states bigint, best_bid double, best_ask double, midpoint double, spread double, imbalance double, bid_depth double, ask_depth double, truncated boolean, bid_levels {_LEVELS}, ask_levels {_LEVELS}"
+RESULT = f"kind string, seq bigint, ns bigint, epoch bigint, window_id bigint, reason string, first_seq bigint, first_ns bigint, last_seq bigint, last_ns bigint, states bigint, best_bid double, best_ask double, midpoint double, spread double, imbalance double, bid_depth double, ask_depth double, bid_delta double, ask_delta double, truncated boolean, bid_levels {_LEVELS}, ask_levels {_LEVELS}"
 _NAMES = [f.split()[0] for f in RESULT.replace(_LEVELS, "x").split(", ")]
 
 
@@ -136,40 +215,92 @@ def as_frame(rows: list[dict], **keys: Any) -> pd.DataFrame:
     out = pd.DataFrame([{n: plain(r.get(n)) for n in _NAMES} for r in rows], columns=_NAMES)
     for i, (k, v) in enumerate(keys.items()):
         out.insert(i, k, v)
-    return out.astype({n: "Int64" for n in ("seq", "ns", "window_id", "first_seq", "first_ns", "last_seq", "last_ns", "states")})
+    return out.astype({n: "Int64" for n in ("seq", "ns", "epoch", "window_id", "first_seq", "first_ns", "last_seq", "last_ns", "states")})
+
+
+def _whole(x: Any) -> int | None:
+    return None if pd.isna(x) else int(x)
+
+
+def messages(pdf: pd.DataFrame) -> list[Message]:
+    """Rows of ``l2_envelopes`` in their order."""
+    price = lambda x: None if x is None else Decimal(str(x))
+    columns = ["seq", "ns", "events", "error", "event_error", "bad_seq", "bad_time", "l2", "digest", "tickers"]
+    return [Message(_whole(seq), _whole(ns), as_events(events), error, event_error, bool(bad_seq), bool(bad_time), bool(l2), digest, [(price(t["bid"]), price(t["ask"])) for t in ([] if tickers is None else tickers)]) for seq, ns, events, error, event_error, bad_seq, bad_time, l2, digest, tickers in pdf[columns].itertuples(index=False, name=None)]
 
 
 def l2_envelopes(classified: DataFrame, product: str) -> DataFrame:
-    """Envelopes of ``normalize.classify`` as replay input for one product: stream, seq, ns, events, error, merge order.
+    """Envelopes of ``normalize.classify`` as replay input for one product, each with what ``Message`` holds and its file and line.
 
     Other channels pass without events, as they carry sequence numbers too.
+    An event belongs to a product that it, one of its updates or the message
+    names.  What can't be read makes the whole message an error, but for the
+    updates of other products.
     """
     from tidewell.functions import scalars as S
 
     text = lambda v, p: F.try_variant_get(v, p, "string")
-    events = F.try_variant_get("payload", "$.events", "array<variant>")
-    own = F.filter(events, lambda e: F.coalesce(text(e, "$.product_id"), F.lit(product)) == product)
+    kind = lambda v, k: F.coalesce(F.schema_of_variant(v).startswith(k), F.lit(False))
+    listed = lambda v, p: F.try_variant_get(v, p, "array<variant>")
+    message_product = text("payload", "$.product_id")
+
+    def event(e):
+        own = F.coalesce(text(e, "$.product_id"), message_product)
+        updates = listed(e, "$.updates")
+        mine = F.filter(updates, lambda u: F.coalesce(text(u, "$.product_id"), own) == product)
+        relevant = F.coalesce(own == product, F.lit(False)) | (F.size(F.coalesce(mine, F.array().cast("array<variant>"))) > 0)
+        type_ = F.coalesce(F.lower(text(e, "$.type")), F.lit(""))
+        error = F.when(~kind(e, "OBJECT"), "event_not_object").when(~kind(F.try_variant_get(e, "$.updates", "variant"), "ARRAY") & (own.isNull() | (own == product)), "updates_not_list").when(F.exists(updates, lambda u: ~kind(u, "OBJECT")), "update_not_object").when(relevant & ~type_.isin("snapshot", "update"), "unknown_event_type")
+        return F.struct((type_ == "snapshot").alias("snapshot"), F.coalesce(F.transform(mine, update), F.array().cast("array<struct<side:string,price:decimal(28,10),quantity:decimal(28,10)>>")).alias("updates"), relevant.alias("relevant"), error.alias("error"))
 
     def update(u):
-        return F.struct(S.book_side(text(u, "$.side")).alias("side"), F.coalesce(text(u, "$.price_level"), text(u, "$.price")).try_cast("decimal(28,10)").alias("price"), F.coalesce(text(u, "$.new_quantity"), text(u, "$.quantity"), text(u, "$.size")).try_cast("decimal(28,10)").alias("quantity"))
-
-    event = F.transform(own, lambda e: F.struct((text(e, "$.type") == "snapshot").alias("snapshot"), F.transform(F.coalesce(F.try_variant_get(e, "$.updates", "array<variant>"), F.array().cast("array<variant>")), update).alias("updates")))
-    is_l2 = F.col("channel").isin("l2_data", "level2")
-    return classified.where("envelope_class <> 'routing_replica'").select("stream", F.col("sequence_num").alias("seq"), F.coalesce("recv_ns", S.iso_ns(text("payload", "$.timestamp"))).alias("ns"), F.when(is_l2, event).alias("events"), F.col("error").alias("error"), "source_path", "source_line")
-
-
-def reconstruct(envelopes: DataFrame, config: ReplayConfig = ReplayConfig(), product: str = "") -> DataFrame:
-    """States, quality events and windows (``kind``) of each stream, replayed in order of time, number, path and line.
+        return F.struct(S.book_side(text(u, "$.side")).alias("side"), S.first_text(text(u, "$.price_level"), text(u, "$.price")).try_cast("decimal(28,10)").alias("price"), S.first_text(text(u, "$.new_quantity"), text(u, "$.quantity"), text(u, "$.size")).try_cast("decimal(28,10)").alias("quantity"))
+
+    is_l2, is_ticker = F.col("channel").isin("l2_data", "level2"), F.col("channel").isin("ticker", "ticker_batch")
+    rows = classified.where("envelope_class <> 'routing_replica'").withColumn("_events", F.when(is_l2, F.transform(listed("payload", "$.events"), event)))
+    failure = F.when(is_l2 & ~kind(F.try_variant_get("payload", "$.events", "variant"), "ARRAY"), "events_not_list").otherwise(F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda x: x.isNotNull()), F.lit(0)))
+    tickers = F.filter(F.flatten(F.transform(listed("payload", "$.events"), lambda e: F.coalesce(listed(e, "$.tickers"), F.array().cast("array<variant>")))), lambda t: text(t, "$.product_id") == product)
+    price = lambda t, p: text(t, p).try_cast("decimal(28,10)")
+    stamp = S.first_text(text("payload", "$._recv_ts"), text("payload", "$.recv_ts"), text("payload", "$.timestamp"))
+    return rows.select(
+        "stream",
+        F.col("sequence_num").alias("seq"),
+        S.iso_ns(stamp).alias("ns"),
+        F.transform(F.filter("_events", lambda e: e["relevant"]), lambda e: F.struct(e["snapshot"].alias("snapshot"), e["updates"].alias("updates"))).alias("events"),
+        "error",
+        failure.alias("event_error"),
+        F.col("sequence_bad").alias("bad_seq"),
+        stamp.isNotNull().alias("bad_time"),
+        is_l2.alias("l2"),
+        F.sha2(F.to_json("payload"), 256).alias("digest"),
+        F.when(is_ticker, F.transform(tickers, lambda t: F.struct(price(t, "$.best_bid").alias("bid"), price(t, "$.best_ask").alias("ask")))).alias("tickers"),
+        "source_path",
+        "source_line",
+    )
+
+
+#: The orders of a replay: merged by time, or as the files are.
+ORDERS = {"receive_time": ["ns", "seq", "source_path", "source_line"], "file": ["source_path", "source_line"]}
+
+
+def reconstruct(envelopes: DataFrame, config: ReplayConfig = ReplayConfig(), product: str = "", order: str = "receive_time") -> DataFrame:
+    """States, quality events, ticker checks and windows (``kind``) of each stream, replayed in one of ORDERS.
 
     A stream is one task: its validity depends on everything before.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ns", "seq", "source_path", "source_line"], kind="stable", na_position="last")
+        pdf = pdf.sort_values(ORDERS[order], kind="stable", na_position="last")
         replay, rows = Replay(config), []
-        whole = lambda x: None if pd.isna(x) else int(x)
-        for seq, ns, events, error in pdf[["seq", "ns", "events", "error"]].itertuples(index=False, name=None):
-            rows += replay.step(whole(seq), whole(ns), as_events(events), error)
+        for m in messages(pdf):
+            rows += replay.apply(m)
         return as_frame(rows + replay.finish(), stream=pdf["stream"].iloc[0], product=product)
 
     return envelopes.groupBy("stream").applyInPandas(fold, f"stream string, product string, {RESULT}")
+
+
+def boundary_is_continuous(windows: DataFrame, after: DataFrame) -> DataFrame:
+    """Streams of ``reconstruct``'s windows with the first number of the records that follow (see ``l2_envelopes``), and whether it is the next one."""
+    last = windows.where("kind = 'window'").groupBy("stream").agg(F.max_by("last_seq", F.struct("window_id", "last_ns")).alias("last_seq"))
+    first = after.where("seq IS NOT NULL").groupBy("stream").agg(F.min_by("seq", F.struct("source_path", "source_line")).alias("next_seq"))
+    return last.join(first, "stream", "left").withColumn("continuous", F.coalesce(F.col("next_seq") == F.col("last_seq") + 1, F.lit(False)))

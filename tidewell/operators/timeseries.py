@@ -167,10 +167,14 @@ def ema(df: DataFrame, keys: Cols, order: str, value: str, span: int) -> DataFra
     return df.groupBy(*keys).agg(values.alias("_v")).select(*keys, F.aggregate(F.slice("_v", 2, F.greatest(F.size("_v") - 1, F.lit(0))), F.element_at("_v", 1), lambda a, x: F.lit(alpha) * x + F.lit(1 - alpha) * a).alias("ema"), F.size("_v").cast("long").alias("n"))
 
 
-def overlaps(points: DataFrame, gaps: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Rows of ``points`` whose [start, end) overlaps a gap of their key."""
-    g = gaps.select(F.col(key).alias("_k"), F.col("gap_start").alias("_gs"), F.col("gap_end").alias("_ge"))
-    return points.join(g, (F.col(key) == F.col("_k")) & (F.col("_gs") < F.col(end)) & (F.col("_ge") > F.col(start)), "left_semi")
+def overlaps(points: DataFrame, gaps: DataFrame, key: str, start: str, end: str, bucket_seconds: int = 86400) -> DataFrame:
+    """Rows of ``points`` whose [start, end) overlaps a gap of their key; both meet in the buckets of time that they touch."""
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_seconds * 1_000_000))
+    touched = lambda a, b: F.explode(F.sequence(bucket(a), F.greatest(bucket(a), bucket(b))))
+    g = gaps.select(F.col(key).alias("_k"), F.col("gap_start").alias("_gs"), F.col("gap_end").alias("_ge")).withColumn("_b", touched("_gs", "_ge"))
+    rows = points.where(F.col(start).isNotNull() & F.col(end).isNotNull()).withColumn("_row", F.monotonically_increasing_id()).withColumn("_b", touched(start, end))
+    hit = rows.join(g, (F.col(key) == F.col("_k")) & (rows["_b"] == g["_b"]) & (F.col("_gs") < F.col(end)) & (F.col("_ge") > F.col(start)), "left_semi").drop("_b")
+    return hit.dropDuplicates(["_row"]).drop("_row")
 
 
 def every_nth(df: DataFrame, keys: Cols, order: list[Column], n: int, reset: Column) -> DataFrame:

@@ -132,17 +132,8 @@ def session_rollup(spark, d):
     return c.join(table(spark, d, "nation"), F.col("session_key") == F.col("n_nationkey")).select("session_key", F.col("n_name").alias("session"), "n_selected", "total")
 
 
-@register("union_interleave", TICKS + ", u AS (SELECT seq, 0 AS kind, price::DOUBLE AS v FROM t WHERE k % 2 = 0 UNION ALL SELECT seq, 1, size::DOUBLE FROM t WHERE k % 3 = 0) SELECT row_number() OVER (ORDER BY seq, kind) AS pos, seq, kind::INTEGER AS kind, v FROM u ORDER BY seq, kind LIMIT 200")
+@register("union_interleave", TICKS + ", u AS (SELECT product, seq, 0 AS kind, price::DOUBLE AS v FROM t UNION ALL SELECT product, seq, 1, size::DOUBLE FROM t) SELECT product, row_number() OVER (PARTITION BY product ORDER BY seq, kind) AS pos, seq, kind::INTEGER AS kind, v FROM u")
 def union_interleave(spark, d):
-    """The first rows of two interleaved streams: a top-k report."""
-    t = ticks(spark, d)
-    u = t.where("k % 2 = 0").select("seq", F.lit(0).alias("kind"), F.col("price").cast("double").alias("v")).unionByName(t.where("k % 3 = 0").select("seq", F.lit(1).alias("kind"), F.col("size").cast("double").alias("v")))
-    top = u.orderBy("seq", "kind").limit(200)
-    return top.withColumn("pos", F.row_number().over(Window.orderBy("seq", "kind")).cast("long")).select("pos", "seq", "kind", "v")
-
-
-@register("union_interleave_all", TICKS + ", u AS (SELECT product, seq, 0 AS kind, price::DOUBLE AS v FROM t UNION ALL SELECT product, seq, 1, size::DOUBLE FROM t) SELECT product, row_number() OVER (PARTITION BY product ORDER BY seq, kind) AS pos, seq, kind::INTEGER AS kind, v FROM u")
-def union_interleave_all(spark, d):
     """Every row of two interleaved streams, with its position in its product."""
     t = ticks(spark, d)
     u = t.select("product", "seq", F.lit(0).alias("kind"), F.col("price").cast("double").alias("v")).unionByName(t.select("product", "seq", F.lit(1).alias("kind"), F.col("size").cast("double").alias("v")))

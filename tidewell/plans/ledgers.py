@@ -15,19 +15,11 @@ def table(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@register("grid_levels", "SELECT p_partkey, i::INTEGER AS level, p_retailprice + 1.5::DOUBLE * i AS price FROM part, (SELECT unnest(range(0, 11)) AS i) WHERE p_partkey <= 50")
+@register("grid_levels", "SELECT p_partkey, i::INTEGER AS level, p_retailprice + 1.5::DOUBLE * i AS price FROM part, (SELECT unnest(range(0, 11)) AS i)")
 def grid_levels(spark, d):
-    p = table(spark, d, "part").where("p_partkey <= 50")
-    levels = ledger.grid_levels(F.col("p_retailprice"), F.col("p_retailprice") + 15.0, F.lit(10))
-    return p.select("p_partkey", F.posexplode(levels).alias("level", "raw"), "p_retailprice").select("p_partkey", "level", (F.col("p_retailprice") + 1.5 * F.col("level")).alias("price"))
-
-
-@register("grid_levels_all", "SELECT p_partkey, i::INTEGER AS level, p_retailprice + 1.5::DOUBLE * i AS price FROM part, (SELECT unnest(range(0, 11)) AS i)")
-def grid_levels_all(spark, d):
     """The levels of every part."""
-    p = table(spark, d, "part")
     levels = ledger.grid_levels(F.col("p_retailprice"), F.col("p_retailprice") + 15.0, F.lit(10))
-    return p.select("p_partkey", F.posexplode(levels).alias("level", "raw"), "p_retailprice").select("p_partkey", "level", (F.col("p_retailprice") + 1.5 * F.col("level")).alias("price"))
+    return table(spark, d, "part").select("p_partkey", F.posexplode(levels).alias("level", "price"))
 
 
 @register("nearest_level", TICKS + ", g AS (SELECT unnest(range(0, 11)) AS i), d AS (SELECT seq, price::DOUBLE AS price, i, abs(50.0 * i - price::DOUBLE) AS dist FROM t, g) SELECT seq, arg_min(i, dist * 1000 + i / 1000.0)::INTEGER AS level FROM d GROUP BY seq")

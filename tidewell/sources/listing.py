@@ -74,6 +74,13 @@ def stem_coverage(files: DataFrame) -> DataFrame:
     return rows.groupBy("kind").agg(F.count("*").alias("n_files"), F.sum("length").alias("n_bytes"), F.count_if(F.col("_raw")).alias("n_with_raw"), F.coalesce(F.sum(F.when(F.col("_raw"), F.col("length"))), F.lit(0)).alias("bytes_with_raw"))
 
 
+def product_ranges(files: DataFrame) -> DataFrame:
+    """Raw and derived files and bytes of each product, and its first and last time by file names."""
+    raw, derived = _is_raw(), F.col("kind").isin("parquet", "feather")
+    length = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0))
+    return files.groupBy("product").agg(F.count_if(raw).alias("n_raw"), F.count_if(derived).alias("n_derived"), length(raw).alias("raw_bytes"), length(derived).alias("derived_bytes"), F.min("filename_time").alias("first_time"), F.max("filename_time").alias("last_time"))
+
+
 def same_stem_groups(files: DataFrame) -> DataFrame:
     """Stems found in two formats or more."""
     return files.groupBy("directory", "stem").agg(F.array_sort(F.collect_set("kind")).alias("kinds"), F.count("*").alias("n_files")).where(F.size("kinds") >= 2)

@@ -6,7 +6,9 @@ invalid.  Watermarks only bound state.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
+from dataclasses import replace
 from typing import Any
 
 import pandas as pd
@@ -16,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from tidewell.functions import scalars as S
-from tidewell.operators.book_replay import RESULT, Replay, ReplayConfig, as_events, as_frame
+from tidewell.operators.book_replay import RESULT, Replay, ReplayConfig, as_frame, messages
 from tidewell.sources.jsonl import with_payload
 
 
@@ -42,7 +44,8 @@ def annotate(records: DataFrame, products: list[str]) -> DataFrame:
     shards = F.transform(known, lambda p: F.concat(F.lit("product="), p))
     to = F.when(F.col("error").isNotNull(), F.array(F.lit("malformed"))).when(F.size(shards) > 0, shards).when(channel.rlike("^[a-z0-9_]+$"), F.array(F.concat(F.lit("channel="), channel))).otherwise(F.array(F.lit("invalid_route")))
     recv, sent = S.iso_ns(S.first_text(text("$._recv_ts"), text("$.recv_ts"))), S.iso_ns(text("$.timestamp"))
-    return records.withColumns({"channel": channel, "epoch": F.coalesce(F.try_variant_get("payload", "$._connection_epoch", "bigint"), F.lit(1)), "seq": F.try_variant_get("payload", "$.sequence_num", "bigint"), "heartbeat": F.try_variant_get("payload", "$.events[0].heartbeat_counter", "bigint"), "recv_ns": recv, "latency_ms": (recv - sent) / F.lit(1e6), "destinations": to})
+    session = F.coalesce(S.path_part(F.col("source_path"), "session"), text("$._collector_session_id"), F.lit(""))
+    return records.withColumns({"channel": channel, "session": session, "epoch": F.coalesce(F.try_variant_get("payload", "$._connection_epoch", "bigint"), F.lit(1)), "seq": F.try_variant_get("payload", "$.sequence_num", "bigint"), "heartbeat": F.try_variant_get("payload", "$.events[0].heartbeat_counter", "bigint"), "recv_ns": recv, "latency_ms": (recv - sent) / F.lit(1e6), "destinations": to})
 
 
 def write_routed(annotated: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
@@ -67,7 +70,7 @@ class ConnectionAudit(StatefulProcessor):
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer_values: Any) -> Iterator[pd.DataFrame]:
         t = dict(zip(self.FIELDS, self.totals.get() if self.totals.exists() else [0] * 5 + [-1] + [0] * 3 + [-1, -1, 0], strict=True))
-        recent = [r[0] for r in self.recent.get()]
+        recent = deque(r[0] for r in self.recent.get())
         seen = set(recent)
         for pdf in rows:
             for seq, beat, ns in pdf.sort_values(["recv_ns", "seq"], kind="stable")[["seq", "heartbeat", "recv_ns"]].itertuples(index=False, name=None):
@@ -86,7 +89,7 @@ class ConnectionAudit(StatefulProcessor):
                         recent.append(seq)
                         seen.add(seq)
                         if len(recent) > self.LOOKBACK:
-                            seen.discard(recent.pop(0))
+                            seen.discard(recent.popleft())
                 if not pd.isna(beat):
                     beat, t["heartbeats"] = int(beat), t["heartbeats"] + 1
                     if t["last_heartbeat"] >= 0:
@@ -98,7 +101,7 @@ class ConnectionAudit(StatefulProcessor):
                     t["last_heartbeat_ns"] = int(ns) if not pd.isna(ns) else t["last_heartbeat_ns"]
         self.totals.update(tuple(t[f] for f in self.FIELDS))
         self.recent.put([(s,) for s in recent])
-        yield pd.DataFrame([{"epoch": key[0], **t}])
+        yield pd.DataFrame([{"session": key[0], "epoch": key[1], **t}])
 
     def close(self) -> None:
         pass
@@ -106,8 +109,8 @@ class ConnectionAudit(StatefulProcessor):
 
 def audit_connections(annotated: DataFrame, dead_seconds: float = 15.0) -> DataFrame:
     """Running totals of each connection after each batch (update mode); needs the RocksDB state store."""
-    rows = annotated.where("error IS NULL").select("epoch", "seq", "heartbeat", "recv_ns")
-    return rows.groupBy("epoch").transformWithStateInPandas(ConnectionAudit(dead_seconds), "epoch long, " + ", ".join(f"{f} long" for f in ConnectionAudit.FIELDS), "Update", "None")
+    rows = annotated.where("error IS NULL").select("session", "epoch", "seq", "heartbeat", "recv_ns")
+    return rows.groupBy("session", "epoch").transformWithStateInPandas(ConnectionAudit(dead_seconds), "session string, epoch long, " + ", ".join(f"{f} long" for f in ConnectionAudit.FIELDS), "Update", "None")
 
 
 class LiveBook(StatefulProcessor):
@@ -118,7 +121,7 @@ class LiveBook(StatefulProcessor):
     """
 
     def __init__(self, config: ReplayConfig = ReplayConfig(), product: str = ""):
-        self.config, self.product = config, product
+        self.config, self.product = replace(config, lookback=config.lookback or ConnectionAudit.LOOKBACK), product  # bounds the state
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.saved = handle.getValueState("replay", "state binary")
@@ -128,10 +131,8 @@ class LiveBook(StatefulProcessor):
 
         replay = pickle.loads(self.saved.get()[0]) if self.saved.exists() else Replay(self.config)
         out: list[dict] = []
-        whole = lambda x: None if pd.isna(x) else int(x)
-        pdf = pd.concat(list(rows)).sort_values(["ns", "seq"], kind="stable", na_position="last")
-        for seq, ns, events, error in pdf[["seq", "ns", "events", "error"]].itertuples(index=False, name=None):
-            out += replay.step(whole(seq), whole(ns), as_events(events), error)
+        for m in messages(pd.concat(list(rows)).sort_values(["ns", "seq"], kind="stable", na_position="last")):
+            out += replay.apply(m)
         self.saved.update((pickle.dumps(replay),))
         yield as_frame(out, stream=key[0], product=self.product)
 
@@ -155,7 +156,7 @@ def drop_replicas(annotated: DataFrame, seconds: int = 3600) -> DataFrame:
     """The first of equal lines of a connection within a bounded time; older lines leave the state."""
     at = F.timestamp_micros((F.col("recv_ns") / 1000).cast("long"))
     rows = annotated.withColumn("at", at).withColumn("line_sha256", F.sha2("raw_line", 256)).withWatermark("at", f"{seconds} seconds")
-    return rows.dropDuplicatesWithinWatermark(["epoch", "line_sha256"])
+    return rows.dropDuplicatesWithinWatermark(["session", "epoch", "line_sha256"])
 
 
 def with_manifest(query_rows: DataFrame, path: str):
