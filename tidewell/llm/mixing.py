@@ -12,8 +12,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
-from .common import written
+from .common import fresh_names, written
 
 #: Means above this are drawn as sums of several smaller ones.
 PART_MEAN = 16.0
@@ -66,18 +67,22 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
 
     A null source is a source of its own.  Rows that repeat an id draw the same
     count.  An input column named ``copy_no`` is replaced.  Copies are dealt by
-    their own hashes, so neither a hot source nor an often repeated document
-    lands in one task.  The table of rates has a row per source; Spark joins it
+    hashes of their whole rows and numbers, so neither a hot source nor an
+    often drawn document lands in one task, nor do the rows without an id;
+    rows that repeat in every column do.  The table of rates has a row per source; Spark joins it
     by broadcast only while its written size is under the session's limit.
     """
     columns = [c for c in docs.columns if c != "copy_no"]
-    rates = source_rates(docs, source_col, weights, temperature, size).select(F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
-    rated = docs.select(*(F.col(f"`{c}`") for c in columns)).join(rates, F.col(source_col).eqNullSafe(F.col("_mix_source")))
-    parts = F.greatest(F.lit(1), F.ceil(F.col("_mix_rate") / PART_MEAN).cast("int"))
-    drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, i: s + poisson(uniform(F.lit(seed), id_col, i), F.col("_mix_rate") / parts))
-    copies = rated.withColumn("_mix_count", drawn).where("_mix_count > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_mix_count"))))
-    keyed = copies.withColumn("_mix_key", F.xxhash64(F.lit(seed), F.col(id_col), F.col("copy_no")))
-    return keyed.repartition("_mix_key").sortWithinPartitions("_mix_key").select(*(F.col(f"`{c}`") for c in columns), "copy_no")
+    own = [F.col(f"`{c}`") for c in columns]
+    of, rate, count, key = fresh_names(docs, "mix_source", "mix_rate", "mix_count", "mix_key")
+    rates = source_rates(docs, source_col, weights, temperature, size).select(F.col("source").alias(of), F.col("rate").alias(rate))
+    rated = docs.select(*own).join(rates, F.col(f"`{source_col}`").eqNullSafe(F.col(of)))
+    parts = F.greatest(F.lit(1), F.ceil(F.col(rate) / PART_MEAN).cast("int"))
+    drawn = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda s, i: s + poisson(uniform(F.lit(seed), id_col, i), F.col(rate) / parts))
+    copies = rated.withColumn(count, drawn).where(F.col(count) > 0).withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col(count))))
+    hashed = [c for c, f in zip(own, docs.select(*own).schema, strict=True) if isinstance(f.dataType, AtomicType)]
+    keyed = copies.withColumn(key, F.xxhash64(F.lit(seed), F.col("copy_no"), *hashed))
+    return keyed.repartition(key).sortWithinPartitions(key).select(*own, "copy_no")
 
 
 def oracle(temperature: float = 0.5, seed: int = 17) -> str:
