@@ -334,6 +334,15 @@ def test_rows_without_id_all_stay(spark):
     assert sorted((r.doc_id or 0, r.text) for r in one) == [(0, "a first"), (0, "a second"), (0, "a second"), (1, "one text here"), (2, "another")]
 
 
+def test_own_names_of_the_input_stay(spark):
+    """Columns that are named as an operator would name its own come back as they were."""
+    rows = [(1, "one text here", 5, "a", 2.5, 6, "b", 7), (2, "one text here", 8, "c", 1.5, 9, "d", 1), (None, None, 1, "e", 0.5, 2, "f", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone int, _gone string, mix_rate double, mix_key int, source string, kept int")
+    assert sorted(map(tuple, near_dups.one_of_each(df).collect()), key=str) == sorted([rows[0], rows[2]], key=str)
+    mixed = mixing.mix_sources(df, size=3.0)
+    assert mixed.columns == [*df.columns, "copy_no"] and {tuple(r)[:-1] for r in mixed.collect()} <= set(rows)
+
+
 def test_alignment_respects_order():
     a = np.arange(100, dtype=np.uint64)
     assert near_dups.aligned(a, a) == 1.0

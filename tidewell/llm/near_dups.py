@@ -36,9 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BASE, Words, mix, powers, text_bytes, text_chunks, window_hashes, written
+from .common import WORD_BASE, Words, fresh_names, mix, powers, text_bytes, text_chunks, window_hashes, written
 from .components import components
-from .substrings import texts_among
+from .substrings import MAP_BITS, texts_among
 
 #: Words of a run; similarity of a link; sketches; runs in a sketch.
 RUN, SIMILARITY, SKETCHES, PICKS = 5, 0.8, 32, 7
@@ -302,12 +302,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, one of each class: that of the smallest id."""
-    kept = near_duplicates(docs, id_col, text_col).where("kept").groupBy(F.col(id_col).alias("_kept_id")).agg(F.count("*").alias("_n"))
-    kept = written(kept, "near")
-    rows = docs.join(kept, F.col(f"`{id_col}`").eqNullSafe(F.col("_kept_id")), "left_semi")
-    repeated = kept.where("_n > 1 AND _kept_id IS NOT NULL").limit(1).count()
-    if not repeated:
+    """The rows of ``docs``, one of each class: that of the smallest id.  Rows without an id all stay.
+
+    Only rows whose id may be among those that go are shuffled: a bitmap of
+    bounded size tells which.
+    """
+    gone, repeats, word, bits = fresh_names(docs, "gone", "repeats", "word", "bits")
+    flags = near_duplicates(docs, id_col, text_col).groupBy(F.col(id_col).alias(gone)).agg(F.bool_or("kept").alias("kept"), F.count("*").alias(repeats))
+    flags = written(flags.where(F.col(gone).isNotNull()), "near")
+    dropped, own = flags.where("NOT kept").select(gone), F.col(f"`{id_col}`")
+    place = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(MAP_BITS))
+    bit = lambda p: F.call_function("shiftleft", F.lit(1).cast("long"), (p % 32).cast("int"))
+    words = written(dropped.select(F.floor(place(F.col(gone)) / 32).alias(word), bit(place(F.col(gone))).alias(bits)).groupBy(word).agg(F.bit_or(bits).alias(bits)), "near")
+    rows = docs.join(F.broadcast(words), F.floor(place(own) / 32) == F.col(word), "left")  # at most MAP_BITS / 32 rows
+    may_go = F.coalesce(own.isNotNull() & (F.col(bits).bitwiseAND(bit(place(own))) != 0), F.lit(False))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    doubtful = rows.where(may_go).select(*columns).join(dropped.hint("merge"), own == F.col(gone), "left_anti")  # the same plan at every size
+    rows = rows.where(~may_go).select(*columns).unionByName(doubtful)
+    if not flags.where(F.col("kept") & (F.col(repeats) > 1)).limit(1).count():
         return rows
-    null = F.col(f"`{id_col}`").isNull()  # a row without id stands alone
-    return rows.where(~null).dropDuplicates([id_col]).unionByName(rows.where(null))
+    return rows.where(own.isNotNull()).dropDuplicates([id_col]).unionByName(rows.where(own.isNull()))
