@@ -11,3 +11,8 @@ def test_every_part_has_levels(spark):
 def test_every_row_is_interleaved(spark):
     rows = ticks.ticks(spark, SF).count()
     assert rows > 200 and catalog.QUERIES["union_interleave_all"](spark, SF).count() == 2 * rows
+
+
+def test_former_names_are_the_same_queries():
+    for name in ("grid_levels", "union_interleave"):
+        assert catalog.QUERIES[name] is catalog.QUERIES[f"{name}_all"] and catalog.ORACLES[name] == catalog.ORACLES[f"{name}_all"]

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import timeseries as ts
-from tidewell.plans.catalog import register
+from tidewell.plans.catalog import ORACLES, register
 from tidewell.plans.ledgers import table
 from tidewell.plans.ticks import TICKS, ticks
 
@@ -140,6 +140,9 @@ def union_interleave(spark, d):
     return u.withColumn("pos", F.row_number().over(Window.partitionBy("product").orderBy("seq", "kind")).cast("long")).select("product", "pos", "seq", "kind", "v")
 
 
+register("union_interleave_all", ORACLES["union_interleave"])(union_interleave)  # its former name
+
+
 @register("latest_n", "SELECT event_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 100")
 def latest_n(spark, d):
     return table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(100).select("event_id", "value")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import ledger, level_book
 from tidewell.operators import timeseries as ts
-from tidewell.plans.catalog import register
+from tidewell.plans.catalog import ORACLES, register
 from tidewell.plans.ticks import TICKS, ticks
 
 
@@ -22,6 +22,9 @@ def grid_levels(spark, d):
     return table(spark, d, "part").select("p_partkey", F.posexplode(levels).alias("level", "price"))
 
 
+register("grid_levels_all", ORACLES["grid_levels"])(grid_levels)  # its former name
+
+
 @register("nearest_level", TICKS + ", g AS (SELECT unnest(range(0, 11)) AS i), d AS (SELECT seq, price::DOUBLE AS price, i, abs(50.0 * i - price::DOUBLE) AS dist FROM t, g) SELECT seq, arg_min(i, dist * 1000 + i / 1000.0)::INTEGER AS level FROM d GROUP BY seq")
 def nearest_level(spark, d):
     levels = F.array(*[F.lit(50.0 * i) for i in range(11)])
