@@ -152,7 +152,7 @@ def test_replay_reconnect_begins_an_epoch_and_a_snapshot_recovers():
     rows = r.step(40, 0, SNAP) + r.step(41, 1, l2(("bid", 98, 1))) + r.step(3, 2, l2(("bid", 97, 1))) + r.step(4, 3, SNAP) + r.step(5, 4, l2(("bid", 96, 1))) + r.finish()
     assert [(x["epoch"], x["seq"]) for x in rows if x["kind"] == "state"] == [(0, 40), (0, 41), (1, 4), (1, 5)]
     assert [x["reason"] for x in rows if x["kind"] == "quality"] == ["sequence_regression", "update_ignored_while_invalid"]
-    assert [(x["first_seq"], x["last_seq"]) for x in rows if x["kind"] == "window"] == [(40, 41), (4, 5)]
+    assert [(x["epoch"], x["first_seq"], x["last_seq"]) for x in rows if x["kind"] == "window"] == [(0, 40, 41), (1, 4, 5)]
 
 
 @pytest.mark.parametrize("message,reason", [(Message(None, 5, SNAP, l2=True), "missing_sequence"), (Message(2, None, SNAP, l2=True), "missing_timestamp"), (Message(2, None, SNAP, l2=True, bad_time=True), "malformed_timestamp"), (Message(None, 5, SNAP, l2=True, bad_seq=True), "malformed_sequence"), (Message(2, 5, SNAP, l2=True, event_error="updates_not_list"), "updates_not_list")])

@@ -111,8 +111,9 @@ class Replay:
         if m.seq in self.seen and self.seen[m.seq] == m.digest:
             return self._invalidate(m.seq, m.ns, "sequence_duplicate"), False
         if last is not None and m.seq < last:
+            closed = self._close(m.seq, m.ns, "sequence_regression") if self.valid else []  # in its own epoch
             self.epoch, self.seen, last = self.epoch + 1, {}, None
-            rows += self._invalidate(m.seq, m.ns, "sequence_regression")
+            rows += self._invalidate(m.seq, m.ns, "sequence_regression") + closed
         elif m.seq in self.seen:
             return self._invalidate(m.seq, m.ns, "sequence_conflict"), False
         if last is not None and m.seq > last + 1:
