@@ -107,3 +107,27 @@ def ceil_to(value: Column, increment: Column) -> Column:
 def safe_partition(text: Column) -> Column:
     """Text fit for a partition directory."""
     return F.regexp_replace(text, r"[^A-Za-z0-9_.-]", "_")
+
+
+def json_list(values: Column) -> Column:
+    """JSON text of the sorted values; an empty list for null."""
+    return F.coalesce(F.to_json(F.array_sort(values.cast("array<string>"))), F.lit("[]"))
+
+
+def safe_name(text: Column) -> Column:
+    """A route as part of a file name, in lower case with _ for -; null where it has other characters."""
+    return F.when(text.rlike(r"\A[A-Za-z0-9_-]+\z"), F.translate(F.lower(text), "-", "_"))
+
+
+def session_state(manifest: Column) -> Column:
+    """open, closed, no_manifest or invalid_manifest, by the text of a session's manifest.
+
+    With a status, only a session of status closed that has an end and all
+    writers closed is closed; without one, any that has an end.
+    """
+    v = F.try_parse_json(manifest)
+    text = lambda path: F.try_variant_get(v, path, "string")
+    ended = F.coalesce(~text("$.end_ts").isin("", "0", "false"), F.lit(False))
+    writers = F.coalesce(F.try_variant_get(v, "$.session_end.all_writers_closed", "boolean"), F.lit(False))
+    clean = F.when(text("$.status").isNull(), ended).otherwise((text("$.status") == "closed") & ended & writers)
+    return F.when(manifest.isNull(), "no_manifest").when(v.isNull() | ~F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), "invalid_manifest").when(clean, "closed").otherwise("open")

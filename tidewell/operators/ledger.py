@@ -73,9 +73,10 @@ def markouts(lots: DataFrame, bars: DataFrame, horizons: list[int], now: Column)
 def recovery_cohorts(lots: DataFrame, horizons: dict[str, int], now: Column) -> DataFrame:
     """Lots by horizon and status: recovered in time, known_failure, right_censored.
 
-    ``lots``: entry_ts and exit_ts in seconds, exit_ts null while open.
+    ``lots``: entry_ts and exit_ts in seconds, exit_ts null while open;
+    ``now`` may be a column of it.
     """
-    every = lots.select(F.explode(F.map_from_arrays(F.array(*map(F.lit, horizons)), F.array(*map(F.lit, horizons.values())))).alias("horizon", "seconds"), "entry_ts", "exit_ts")
+    every = lots.select("*", F.explode(F.map_from_arrays(F.array(*map(F.lit, horizons)), F.array(*map(F.lit, horizons.values())))).alias("horizon", "seconds"))
     took = F.col("exit_ts") - F.col("entry_ts")
     status = F.when(took <= F.col("seconds"), "recovered").when((now - F.col("entry_ts")) >= F.col("seconds"), "known_failure").otherwise("right_censored")
     return every.withColumn("status", status).groupBy("horizon", "status").agg(F.count("*").alias("n_lots"))

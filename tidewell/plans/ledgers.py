@@ -141,10 +141,7 @@ def closed_lots(spark, d):
 
 @register("recovery_cohorts", CLOSED + ", h AS (SELECT unnest(['1d', '7d', '30d']) AS horizon, unnest([86400, 604800, 2592000]) AS seconds) SELECT horizon, CASE WHEN exit_ts - entry_ts <= seconds THEN 'recovered' WHEN now - entry_ts >= seconds THEN 'known_failure' ELSE 'right_censored' END AS status, count(*) AS n_lots FROM lot, n, h GROUP BY 1, 2")
 def recovery_cohorts(spark, d):
-    c = closed_lots(spark, d)
-    rows = c.select("entry_ts", "exit_ts", "now", F.explode(F.create_map(F.lit("1d"), F.lit(86400), F.lit("7d"), F.lit(604800), F.lit("30d"), F.lit(2592000))).alias("horizon", "seconds"))
-    status = F.when(F.col("exit_ts") - F.col("entry_ts") <= F.col("seconds"), "recovered").when(F.col("now") - F.col("entry_ts") >= F.col("seconds"), "known_failure").otherwise("right_censored")
-    return rows.groupBy("horizon", status.alias("status")).agg(F.count("*").alias("n_lots"))
+    return ledger.recovery_cohorts(closed_lots(spark, d), {"1d": 86400, "7d": 604800, "30d": 2592000}, F.col("now"))
 
 
 @register("mae_bps", ENTRIES + "SELECT lot_id, min(close) AS min_close, (min(close) / entry_price - 1) * 10000 AS mae_bps FROM lot JOIN bars ON lot.product = bars.product AND bars.bucket >= entry_ts AND bars.bucket < entry_ts + 86400 GROUP BY lot_id, entry_price")
