@@ -509,6 +509,33 @@ def test_pii_adds_and_redacts(spark, nothing):
     assert pii.train(nothing).cut == math.inf and pii.redact(nothing).count() == 0
 
 
+def test_pii_in_a_text_of_many_matches(spark):
+    """Texts of several chunks with characters of one to four bytes, hundreds of matches of all kinds, and many generated candidates."""
+    rng = random.Random(12)
+    parts = ["é𝄞 " * 40, "host 10.0.{0}.7", "m{0}@b.org", "+1 (212) 555-{0}", "call 212 555 {0}", "token={0}abcdefABCDEF0123456789", "x" * 90]
+    texts = [" ".join(rng.choice(parts).format(100 + i % 150) for i in range(n)) for n in (0, 1, 40, 400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = df.withColumn("base", pii.base_spans(F.col("text"))).select("doc_id", "base", pii.candidates(F.col("text"), F.col("base")).alias("c")).collect()
+    for r in got:
+        text, seen = texts[r.doc_id], 0
+        for c in r.c:
+            assert c.over == any(b.s < c.e and b.e > c.s for b in r.base)
+            before = text[max(0, c.s - 24) : c.s]
+            assert c.left == (0 if not before or before[-1].isspace() else 2 if before[-1].isascii() and before[-1].isalnum() else 1)
+            assert c.context == 1 if before.endswith("token=") else c.context == 2 if before.endswith(("host ", "call ")) else c.context in (0, 2)
+            seen += 1
+        assert bool(seen) == any(ch.isdigit() for ch in text)
+    model = pii.Trees(0.0, [(("kind", 4), 1.0, (("context", 2), 1.0, -1.0))], 0.5)
+    spans = {r.doc_id: r.spans for r in pii.find_spans(df, model).collect()}
+    for r in pii.redact(df, model).collect():
+        out, at = [], 0
+        for x in spans[r.doc_id]:
+            if x.e > at:
+                out += [texts[r.doc_id][at : max(x.s, at)], f"[{pii.KINDS[x.k].upper()}]" if x.s >= at else ""]
+                at = x.e
+        assert r.text == "".join(out) + texts[r.doc_id][at:]
+
+
 # 9 ---------------------------------------------------------------------------------------------
 
 

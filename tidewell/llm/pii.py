@@ -18,6 +18,7 @@ where no base span lies.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Documents that the trees are fitted on (expected number; drawn by a hash of the id).
 FIT_DOCUMENTS = 20_000
+#: Code points of a run in which a text is looked into.
+CHUNK = 1024
 ROUNDS, SHRINK, LEAST_WEIGHT, THRESHOLD = 24, 0.4, 5.0, 0.5
 
 # Possessive quantifiers and look-behinds keep the matches of the plain patterns but no
@@ -50,21 +53,58 @@ _ASSIGNED = r"(?i)(?:password|passwd|pwd|token|secret|key)[ ]?[=:][ ]?[\"']?$"
 _CONTACT = r"(?i)(?:phone|tel|fax|call|mail|contact|card|address|host|server)[a-z]{0,4}[ :.]{0,3}$"
 
 
+def _fold(items: Column, kind: str, step: Callable[[Column, Column], Column]) -> Column:
+    """struct<at int, out array<kind>>: ``step(acc, item)`` over the items from (0, []).
+
+    A step appends to ``out``, which copies it; so items are taken in blocks of
+    the square root of their number, each with an ``out`` of its own.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def one(block: Column, at: Column) -> Column:
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), step)
+
+    def walk(whole: Column) -> Column:
+        width = F.greatest(F.ceil(F.sqrt(F.size(whole))).cast("int"), F.lit(1))
+        last = F.floor((F.greatest(F.size(whole), F.lit(1)) - 1) / width).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(whole, i * width + 1, width))
+        outs = F.array().cast(f"array<array<{kind}>>")
+        joined = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), outs.alias("outs")), lambda acc, block: _let(one(block, acc["at"]), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["outs"], F.array(r["out"])).alias("outs"))))
+        return _let(joined, lambda r: F.struct(r["at"].alias("at"), F.flatten(r["outs"]).alias("out")))
+
+    return _let(items, walk)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _chunks(text: Column) -> Column:
+    """The text in runs of CHUNK code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+
+
+def _cut(chunks: Column, start: Column, end: Column) -> Column:
+    """Code points [start, end) of a text in chunks, without a walk from its beginning."""
+    first, last = F.floor(start / CHUNK).cast("int"), F.floor((end - 1) / CHUNK).cast("int")
+    return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""), start % CHUNK + 1, end - start)
+
+
 def _matches(text: Column, pattern: str, needs: str | None = None) -> Column:
     """array<struct<m, s, e>>: matches of the pattern with their code point spans."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     if needs:
         found = F.when(F.contains(text, F.lit(needs)), found).otherwise(F.array().cast("array<string>"))
     between = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-    step = F.aggregate(
+    step = _fold(
         F.zip_with(between, found, lambda b, m: F.struct(F.length(b).alias("b"), m.alias("m"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<m:string,s:int,e:int>>").alias("out")),
+        "struct<m:string,s:int,e:int>",
         lambda acc, x: F.struct(
             (acc["at"] + x["b"] + F.length(x["m"])).alias("at"),
             F.concat(acc["out"], F.array(F.struct(x["m"].alias("m"), (acc["at"] + x["b"]).alias("s"), (acc["at"] + x["b"] + F.length(x["m"])).alias("e")))).alias("out"),
         ),
-        lambda acc: acc["out"],
-    )
+    )["out"]
     return F.when(F.size(found) > 0, step).otherwise(F.array().cast("array<struct<m:string,s:int,e:int>>"))
 
 
@@ -100,8 +140,8 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*map(of, BASE)))
 
 
-def _features(text: Column, x: Column, kind: int) -> dict[str, Column]:
-    m, before = x["m"], F.substring(text, F.greatest(F.lit(1), x["s"] - 23), F.least(x["s"], F.lit(24)))
+def _features(before: Column, x: Column, kind: int) -> dict[str, Column]:
+    m = x["m"]
     digits, last = F.length(_digits(m)), F.right(before, F.lit(1))
     lower, upper = m.rlike("[a-z]"), m.rlike("[A-Z]")
     return {
@@ -122,13 +162,34 @@ FEATURES = ["kind", "digits", "length", "letters", "mark", "plus", "check", "con
 
 def candidates(text: Column, base: Column) -> Column:
     """array<struct<s, k, e, label, features...>> of everything that the generators propose."""
+    # base spans come by start; beside each, the largest end up to it
+    reach = _fold(base, "struct<s:int,e:int>", lambda acc, x: F.struct(F.greatest(acc["at"], x["e"]).alias("at"), F.concat(acc["out"], F.array(F.struct(x["s"].alias("s"), F.greatest(acc["at"], x["e"]).alias("e")))).alias("out")))["out"]
+    return _let(F.struct(reach.alias("reach"), _chunks(text).alias("chunks")), lambda v: _candidates(text, v["reach"], v["chunks"]))
+
 
+def _overlaps(reach: Column, s: Column, e: Column) -> Column:
+    """True when a span of ``reach`` (by start, with the largest end so far) meets [s, e): the last that starts before e ends after s."""
+    steps = F.ceil(F.log2(F.size(reach) + 1)).cast("int")
+
+    def halve(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["lo"] + acc["hi"] + 1) / 2).cast("int")  # 1-based; lo spans start before e
+        before = F.get(reach, mid - 1)["s"] < e
+        return F.struct(F.when((acc["lo"] < acc["hi"]) & before, mid).otherwise(acc["lo"]).alias("lo"), F.when((acc["lo"] < acc["hi"]) & ~before, mid - 1).otherwise(acc["hi"]).alias("hi"))
+
+    found = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(0).alias("lo"), F.size(reach).alias("hi")), halve)["lo"]
+    return F.when(F.size(reach) == 0, False).otherwise(F.coalesce(F.get(reach, found - 1)["e"] > s, F.lit(False)))
+
+
+def _candidates(text: Column, reach: Column, chunks: Column) -> Column:
     def of(kind: str) -> Column:
         k = KINDS.index(kind)
 
         def one(x: Column) -> Column:
-            over = F.exists(base, lambda b: (b["s"] < x["e"]) & (b["e"] > x["s"]))
-            f = _features(text, x, k)
+            return _let(_cut(chunks, F.greatest(x["s"] - 24, F.lit(0)), x["s"]), lambda before: told(x, before))
+
+        def told(x: Column, before: Column) -> Column:
+            over = _overlaps(reach, x["s"], x["e"])
+            f = _features(before, x, k)
             known = (f["context"] == 1) & (f["digits"] > 0) | x["m"].rlike("^AKIA[0-9A-Z]{16}$") if kind == "secret" else F.lit(False)
             return F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e"), over.alias("over"), (over | known).alias("label"), *(c.alias(n) for n, c in f.items()))
 
@@ -256,15 +317,14 @@ def find_spans(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_i
     if model.trees and model.cut < math.inf:
         good = F.filter(candidates(F.col("_text"), F.col("base")), lambda c: ~c["over"] & (model.raw(c) >= model.cut))
         ordered = F.array_sort(F.transform(good, lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("o"), c["k"].alias("k"))))
-        chosen = F.aggregate(
+        chosen = _fold(
             ordered,
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int>>").alias("out")),
+            "struct<s:int,k:int,e:int>",
             lambda acc, c: F.struct(
                 F.when(c["s"] >= acc["at"], -c["o"]).otherwise(acc["at"]).alias("at"),
                 F.when(c["s"] >= acc["at"], F.concat(acc["out"], F.array(F.struct(c["s"].alias("s"), c["k"].alias("k"), (-c["o"]).alias("e"))))).otherwise(acc["out"]).alias("out"),
             ),
-            lambda acc: acc["out"],
-        )
+        )["out"]
         rows = rows.withColumn("added", chosen)
     else:
         rows = rows.withColumn("added", F.array().cast("array<struct<s:int,k:int,e:int>>"))
@@ -283,16 +343,16 @@ def redact(docs: DataFrame, model: Trees | None = None, id_col: str = "doc_id",
     columns = docs.columns
     found = find_spans(docs, model, id_col, text_col, carry=columns)
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    walk = F.aggregate(
+    walked = lambda chunks: _fold(
         F.col("spans"),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
+        "string",
         lambda acc, x: F.when(x["e"] <= acc["at"], acc).otherwise(
             F.struct(
                 x["e"].alias("at"),
-                F.concat(acc["out"], F.array(F.substring(F.col("_text"), acc["at"] + 1, F.greatest(x["s"] - acc["at"], F.lit(0))), F.when(x["s"] >= acc["at"], F.element_at(names, x["k"] + 1)).otherwise(""))).alias("out"),
+                F.concat(acc["out"], F.array(_cut(chunks, acc["at"], F.greatest(x["s"], acc["at"])), F.when(x["s"] >= acc["at"], F.element_at(names, x["k"] + 1)).otherwise(""))).alias("out"),
             )
         ),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("_text"), acc["at"] + 1, F.length("_text"))),
     )
+    walk = _let(_let(_chunks(F.col("_text")), walked), lambda r: F.concat(F.array_join(r["out"], ""), F.substring(F.col("_text"), r["at"] + 1, F.length("_text"))))
     fresh = F.when(F.size("spans") > 0, walk).otherwise(F.col("_text"))
     return found.select(*(F.when(F.col(f"_carry_{i}").isNotNull(), fresh).alias(c) if c == text_col else F.col(f"_carry_{i}").alias(c) for i, c in enumerate(columns)))
