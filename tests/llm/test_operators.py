@@ -166,6 +166,22 @@ def test_pieces(spark, docs, texts, nothing, codec):
     assert pieces.encode_documents(nothing, registry.tokenizer_path("piece_bpe_32k.model")).count() == 0
 
 
+def test_pieces_query_digests_the_spans(spark, docs, texts, codec, monkeypatch):
+    """The spans of the query are those of the surfaces that the library reports."""
+    monkeypatch.setattr(registry, "table", lambda *_: docs)
+    rows = {r.doc_id: r for r in registry.op3_sentencepiece(spark, "").collect()}
+    for i, t in texts:
+        ends, at = [], 0
+        begins = []
+        for p in codec.lib.encode(t or "", return_type="proto").pieces:
+            begins.append(at)
+            at += len(p.surface.encode())
+            ends.append(at)
+        size = len((t or "").encode())
+        spans = " ".join(map(str, [*begins, size, *ends, size]))
+        assert at == size and rows[i].n_bytes == size and rows[i].spans_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+
+
 def darts(entries):
     """A double array (label | leaf | offset units) of a few keys, and the blob around it."""
     strings, places = b"", {}

@@ -30,7 +30,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids and decoded text of every document, as digests."""
+    """Ids, byte spans and decoded text of every document, as digests; ``spans_sha256`` is of all begins, then all ends, joined by spaces."""
     rows = pieces.encode_documents(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
     return rows.select(
         "doc_id",
@@ -38,6 +38,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
         F.element_at("ends", -1).cast("long").alias("n_bytes"),
+        F.sha2(F.array_join(F.concat("begins", "ends").cast("array<string>"), " "), 256).alias("spans_sha256"),
     )
 
 
