@@ -5,6 +5,7 @@ import pytest
 from oracle import same_rows
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
+from tidewell.operators import timeseries as ts
 from tidewell.plans import catalog
 
 
@@ -29,3 +30,12 @@ def test_plan_exit_at_no_price(spark, free):
 
 def test_mae_of_a_lot_that_cost_nothing(spark, free):
     same_rows(catalog.QUERIES["mae_bps"](spark, free[0]), free[1], catalog.ORACLES["mae_bps"])
+
+
+def test_forward_asof_reads_no_frame_twice(spark):
+    """A frame up to the end is summed again for each row: quadratic in a product's rows."""
+    left = spark.range(3).selectExpr("'a' AS k", "id AS t").unionByName(spark.sql("SELECT 'a' AS k, CAST(NULL AS BIGINT) AS t"))
+    right = spark.sql("SELECT 'a' AS k, CAST(1 AS BIGINT) AS t, 5 AS v UNION ALL SELECT 'a', NULL, 6")
+    found = ts.asof_join(left, right, ["k"], "t", ["v"], forward=True)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+    assert {r.t: r.asof_v for r in found.collect()} == {0: 5, 1: 5, 2: None, None: None}

@@ -110,19 +110,17 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Cols, on: str, values: Co
     """Each left row with the ``values`` of the last right row at or before it (first at or after it, ``forward``).
 
     One union and one sort per key; both sides need ``keys`` and ``on``.  At
-    equal places the right row counts.
+    equal places the right row counts.  ``forward`` sorts backwards: a frame
+    up to the end would be read again for each row.
     """
     side = left.columns
     pad = left.withColumn("_left", F.lit(True))
-    other = right.select(*keys, on, *[F.col(v).alias(f"_r_{v}") for v in values], F.col(on).alias("_r_at")).withColumn("_left", F.lit(False))
+    other = right.where(F.col(on).isNotNull()).select(*keys, on, *[F.col(v).alias(f"_r_{v}") for v in values], F.col(on).alias("_r_at")).withColumn("_left", F.lit(False))
     rows = pad.unionByName(other, allowMissingColumns=True)
-    tie = F.when(F.col("_left"), 0 if forward else 1).otherwise(1 if forward else 0)
-    w = _over(keys, [F.col(on), tie])
-    frame = w.rowsBetween(0, Window.unboundedFollowing) if forward else w.rowsBetween(Window.unboundedPreceding, 0)
-    pick = F.first if forward else F.last
+    frame = _over(keys, [F.desc_nulls_first(on) if forward else F.asc_nulls_first(on), F.col("_left")]).rowsBetween(Window.unboundedPreceding, 0)
     # the key's own column is never null, so a matched row with null values still counts
     found = F.struct(*[F.col(f"_r_{v}").alias(v) for v in values], F.col("_r_at").alias("_at"))
-    rows = rows.withColumn("_m", pick(F.when(~F.col("_left"), found), ignorenulls=True).over(frame)).where("_left")
+    rows = rows.withColumn("_m", F.last(F.when(~F.col("_left"), found), ignorenulls=True).over(frame)).where("_left")
     return rows.select(*side, *[F.col(f"_m.{v}").alias(f"asof_{v}") for v in values], F.col("_m._at").alias(f"asof_{on}"))
 
 
