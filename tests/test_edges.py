@@ -41,6 +41,6 @@ def test_forward_asof_reads_no_frame_twice(spark):
     assert {r.t: r.asof_v for r in found.collect()} == {0: 5, 1: 5, 2: None, None: None}
 
 
-@pytest.mark.parametrize("name", ["lot_coverage", "recovery_statuses"])
+@pytest.mark.parametrize("name", ["lot_coverage", "recovery_statuses", "recovery_summary"])
 def test_lots_are_followed_in_one_pass(spark, name):
     assert "unboundedfollowing" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().lower()
