@@ -1,10 +1,14 @@
 """Queries on rows that the driver's small tables lack, against their SQL."""
 
+import math
+
 import duckdb
 import pytest
 from oracle import same_rows
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
+from tidewell.operators import diagnostics, ledger
 from tidewell.operators import timeseries as ts
 from tidewell.plans import catalog
 
@@ -44,3 +48,14 @@ def test_forward_asof_reads_no_frame_twice(spark):
 @pytest.mark.parametrize("name", ["lot_coverage", "recovery_statuses", "recovery_summary"])
 def test_lots_are_followed_in_one_pass(spark, name):
     assert "unboundedfollowing" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString().lower()
+
+
+def test_markouts_of_a_lot_that_cost_nothing(spark):
+    """It counts as observed, and its infinite markout in the mean; the SQL can't cast it to a decimal."""
+    lots = spark.createDataFrame([("p", 0, 0.0), ("p", 0, 10.0), ("p", 0, 20.0), ("q", 0, 0.0)], "product string, entry_ts long, entry_price double")
+    bars = spark.createDataFrame([("p", 60, 15.0), ("q", 60, 0.0), ("p", 120, 10.0)], "product string, bucket long, close double")
+    marks = ledger.markouts(lots.withColumn("lot_id", F.monotonically_increasing_id()), bars, [60, 120], F.lit(120))
+    got = {r.horizon: r for r in diagnostics.markout_statistics(marks.where("product = 'p'")).collect()}
+    assert got[60][1:5] == (3, 0, 0, 1) and got[60].average == got[60].largest == float("inf") and (got[60].median, got[60].least) == (5000.0, -2500.0)
+    nothing = {r.horizon: r for r in diagnostics.markout_statistics(marks.where("product = 'q'")).collect()}
+    assert nothing[60].observed == 1 and math.isnan(nothing[60].average) and nothing[120].censored == 1 and nothing[120].average is None

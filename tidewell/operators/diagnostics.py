@@ -68,15 +68,18 @@ def recovery_summary(statuses: DataFrame) -> DataFrame:
 def markout_statistics(marks: DataFrame) -> DataFrame:
     """By horizon of ``ledger.markouts``: lots per status, negative ones, and mean, median, least and largest markout of exact marks.
 
-    The median holds the distinct values of a horizon in its task.
+    The median holds the distinct values of a horizon in its task.  Finite
+    markouts are summed as decimals; infinite ones and NaN count as they are,
+    in the mean too.
     """
     exact = F.when(F.col("status") == "exact", F.col("markout_bps"))
+    finite = F.abs(exact) < float("inf")
     rows = marks.groupBy("horizon").agg(
         F.count(exact).alias("observed"),
         F.count_if(F.col("status") == "delayed").alias("delayed"),
         F.count_if(F.col("status") == "censored").alias("censored"),
         F.count_if(exact < 0).alias("negative"),
-        F.sum(exact.cast("decimal(28,8)")).cast("double").alias("_sum"),
+        (F.coalesce(F.sum(F.when(finite, exact).cast("decimal(28,8)")).cast("double"), F.lit(0.0)) + F.coalesce(F.sum(F.when(~finite, exact)), F.lit(0.0))).alias("_sum"),
         F.percentile(exact, 0.5).alias("median"),
         F.min(exact).alias("least"),
         F.max(exact).alias("largest"),
