@@ -8,9 +8,10 @@ from oracle import same_rows
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
-from tidewell.operators import diagnostics, ledger
+from tidewell.operators import book_replay, diagnostics, ledger, normalize
 from tidewell.operators import timeseries as ts
-from tidewell.plans import catalog
+from tidewell.plans import captures, catalog
+from tidewell.sources.jsonl import with_payload
 
 
 @pytest.fixture(scope="module")
@@ -59,3 +60,28 @@ def test_markouts_of_a_lot_that_cost_nothing(spark):
     assert got[60][1:5] == (3, 0, 0, 1) and got[60].average == got[60].largest == float("inf") and (got[60].median, got[60].least) == (5000.0, -2500.0)
     nothing = {r.horizon: r for r in diagnostics.markout_statistics(marks.where("product = 'q'")).collect()}
     assert nothing[60].observed == 1 and math.isnan(nothing[60].average) and nothing[120].censored == 1 and nothing[120].average is None
+
+
+def test_replay_passes_through_and_its_input_is_that_of_classified_envelopes(spark):
+    """Streams in batches of three rows; repeated, replicated and broken lines; nothing holds a whole stream."""
+    messages = captures.book_messages(spark, "/root/testdata/sf0.001").select("source_path", "source_line", "raw_line")
+    line = F.col("source_line")
+    copies = messages.where(line % 11 == 0).withColumn("source_path", F.regexp_replace("source_path", "channel=all", "channel=copy")).unionByName(messages.where(line % 13 == 0).withColumn("source_line", line + 1))
+    broken = messages.where(line % 17 == 0).withColumns({"source_line": line + 2, "raw_line": F.lit("{")})
+    env = normalize.envelopes(with_payload(messages.unionByName(copies).unionByName(broken)))
+    slim = book_replay.replay_input(env, "A-B")
+    whole = book_replay.l2_envelopes(normalize.classify(env), "A-B")
+    rows = lambda df: sorted(map(repr, df.select(*slim.columns).collect()))
+    got = rows(slim)
+    assert got == rows(whole) and len(got) < env.count()
+    kept = sorted(map(repr, book_replay.reconstruct(whole, product="A-B").collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        out = book_replay.reconstruct(slim, product="A-B")
+        assert sorted(map(repr, out.collect())) == kept
+        windows = book_replay.reconstruct(slim, product="A-B", kinds=("window",)).collect()
+        assert sorted(map(repr, windows)) == [r for r in kept if "kind='window'" in r] and windows
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()

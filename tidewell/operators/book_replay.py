@@ -12,11 +12,13 @@ per stream, and in Structured Streaming.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from decimal import Decimal
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,7 +189,7 @@ class Replay:
         bids, asks = self.book.levels("bid", self.config.depth), self.book.levels("ask", self.config.depth)
         b, a = sum(q for _, q in bids), sum(q for _, q in asks)
         best_bid, best_ask = bids[0][0], asks[0][0]
-        return self._row("state", seq, ns, best_bid=best_bid, best_ask=best_ask, midpoint=(best_bid + best_ask) / 2, spread=best_ask - best_bid, imbalance=(b - a) / (b + a) if b + a else None, bid_depth=self.book.depth["bid"], ask_depth=self.book.depth["ask"], truncated=len(self.book.prices["bid"]) > self.config.depth or len(self.book.prices["ask"]) > self.config.depth, bid_levels=[{"price": p, "quantity": q} for p, q in bids], ask_levels=[{"price": p, "quantity": q} for p, q in asks])
+        return self._row("state", seq, ns, best_bid=best_bid, best_ask=best_ask, midpoint=(best_bid + best_ask) / 2, spread=best_ask - best_bid, imbalance=(b - a) / (b + a) if b + a else None, bid_depth=self.book.depth["bid"], ask_depth=self.book.depth["ask"], truncated=len(self.book.prices["bid"]) > self.config.depth or len(self.book.prices["ask"]) > self.config.depth, bid_levels=bids, ask_levels=asks)
 
     def finish(self) -> list[dict]:
         """The open window, closed by the end of the input."""
@@ -197,6 +199,9 @@ class Replay:
 _LEVELS = "array<struct<price:double,quantity:double>>"
 RESULT = f"kind string, seq bigint, ns bigint, epoch bigint, window_id bigint, reason string, first_seq bigint, first_ns bigint, last_seq bigint, last_ns bigint, states bigint, best_bid double, best_ask double, midpoint double, spread double, imbalance double, bid_depth double, ask_depth double, bid_delta double, ask_delta double, truncated boolean, bid_levels {_LEVELS}, ask_levels {_LEVELS}"
 _NAMES = [f.split()[0] for f in RESULT.replace(_LEVELS, "x").split(", ")]
+KINDS = ("state", "quality", "ticker", "window")
+#: Tasks that streams are dealt to: more than the streams, so that few share one while others idle.
+TASKS = 200
 
 
 def as_events(raw: Any) -> list[dict] | None:
@@ -211,7 +216,7 @@ def as_frame(rows: list[dict], **keys: Any) -> pd.DataFrame:
     def plain(v: Any) -> Any:
         if isinstance(v, Decimal):
             return float(v)
-        return [{k: float(x) for k, x in p.items()} for p in v] if isinstance(v, list) else v
+        return [{"price": float(p), "quantity": float(q)} for p, q in v] if isinstance(v, list) else v
 
     out = pd.DataFrame([{n: plain(r.get(n)) for n in _NAMES} for r in rows], columns=_NAMES)
     for i, (k, v) in enumerate(keys.items()):
@@ -231,7 +236,24 @@ def messages(pdf: pd.DataFrame) -> list[Message]:
 
 
 def l2_envelopes(classified: DataFrame, product: str) -> DataFrame:
-    """Envelopes of ``normalize.classify`` as replay input for one product, each with what ``Message`` holds and its file and line.
+    """Envelopes of ``normalize.classify`` as replay input for one product, without routing replicas (see ``_parsed``)."""
+    return _parsed(classified.where("envelope_class <> 'routing_replica'"), product)
+
+
+def replay_input(env: DataFrame, product: str) -> DataFrame:
+    """What ``l2_envelopes`` makes of ``normalize.envelopes`` once they are classified.
+
+    Texts are parsed where they are read; what is sorted and shuffled is the
+    replay's input alone.
+    """
+    from .normalize import without_replicas
+
+    rows = _parsed(env, product, "exchange_sha256", "recv_ns", "sequence_num", "route")
+    return without_replicas(rows).drop("exchange_sha256", "recv_ns", "sequence_num", "route")
+
+
+def _parsed(rows: DataFrame, product: str, *more: str) -> DataFrame:
+    """Envelopes as replay input for one product, each with what ``Message`` holds and its file and line, and ``more`` columns.
 
     Other channels pass without events, as they carry sequence numbers too.
     An event belongs to a product that it, one of its updates or the message
@@ -258,7 +280,7 @@ def l2_envelopes(classified: DataFrame, product: str) -> DataFrame:
         return F.struct(S.book_side(text(u, "$.side")).alias("side"), S.first_text(text(u, "$.price_level"), text(u, "$.price")).try_cast("decimal(28,10)").alias("price"), S.first_text(text(u, "$.new_quantity"), text(u, "$.quantity"), text(u, "$.size")).try_cast("decimal(28,10)").alias("quantity"))
 
     is_l2, is_ticker = F.col("channel").isin("l2_data", "level2"), F.col("channel").isin("ticker", "ticker_batch")
-    rows = classified.where("envelope_class <> 'routing_replica'").withColumn("_events", F.when(is_l2, F.transform(listed("payload", "$.events"), event)))
+    rows = rows.withColumn("_events", F.when(is_l2, F.transform(listed("payload", "$.events"), event)))
     failure = F.when(is_l2 & ~kind(F.try_variant_get("payload", "$.events", "variant"), "ARRAY"), "events_not_list").otherwise(F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda x: x.isNotNull()), F.lit(0)))
     tickers = F.filter(F.flatten(F.transform(listed("payload", "$.events"), lambda e: F.coalesce(listed(e, "$.tickers"), F.array().cast("array<variant>")))), lambda t: text(t, "$.product_id") == product)
     price = lambda t, p: text(t, p).try_cast("decimal(28,10)")
@@ -277,27 +299,89 @@ def l2_envelopes(classified: DataFrame, product: str) -> DataFrame:
         F.when(is_ticker, F.transform(tickers, lambda t: F.struct(price(t, "$.best_bid").alias("bid"), price(t, "$.best_ask").alias("ask")))).alias("tickers"),
         "source_path",
         "source_line",
+        *more,
     )
 
 
 #: The orders of a replay: merged by time, or as the files are.
 ORDERS = {"receive_time": ["ns", "seq", "source_path", "source_line"], "file": ["source_path", "source_line"]}
-
-
-def reconstruct(envelopes: DataFrame, config: ReplayConfig = ReplayConfig(), product: str = "", order: str = "receive_time") -> DataFrame:
-    """States, quality events, ticker checks and windows (``kind``) of each stream, replayed in one of ORDERS.
-
-    A stream is one task: its validity depends on everything before.
+_READ = ["stream", "seq", "ns", "events", "error", "event_error", "bad_seq", "bad_time", "l2", "digest", "tickers"]
+
+
+def _lists(column: pa.ListArray) -> tuple[list[int], pa.Array]:
+    """(offsets from 0, values) of a column of lists; null ones are empty."""
+    if not len(column):  # without rows, there may be no offset to read
+        return [0], column.values.slice(0, 0)
+    offsets = column.offsets.to_numpy()
+    return (offsets - offsets[0]).tolist(), column.values.slice(offsets[0], offsets[-1] - offsets[0])
+
+
+def batch_messages(batch: pa.RecordBatch) -> Iterator[tuple[str | None, Message]]:
+    """(stream, message) of rows of ``_READ``; nested columns are read flat, once a batch."""
+    seqs, times, errors, event_errors, bad_seqs, bad_times, l2s, digests = (batch.column(n).to_pylist() for n in ("seq", "ns", "error", "event_error", "bad_seq", "bad_time", "l2", "digest"))
+    known = batch.column("events").is_valid().to_pylist()
+    at, events = _lists(batch.column("events"))
+    inner, updates = _lists(events.field("updates"))
+    snapshots = events.field("snapshot").to_pylist()
+    flat = list(zip(*(updates.field(n).to_pylist() for n in ("side", "price", "quantity")), strict=True))
+    tick, tickers = _lists(batch.column("tickers"))
+    quotes = list(zip(tickers.field("bid").to_pylist(), tickers.field("ask").to_pylist(), strict=True))
+    for i, stream in enumerate(batch.column("stream").to_pylist()):
+        own = [{"snapshot": bool(snapshots[j]), "updates": flat[inner[j] : inner[j + 1]]} for j in range(at[i], at[i + 1])] if known[i] else None
+        yield stream, Message(seqs[i], times[i], own, errors[i], event_errors[i], bool(bad_seqs[i]), bool(bad_times[i]), bool(l2s[i]), digests[i], quotes[tick[i] : tick[i + 1]])
+
+
+_WHOLE = {"seq", "ns", "epoch", "window_id", "first_seq", "first_ns", "last_seq", "last_ns", "states"}
+_TEXT = {"kind", "reason"}
+
+
+def as_batch(rows: list[tuple[str | None, dict]], product: str) -> pa.RecordBatch:
+    """Rows of the replay, each with its stream, as the result's columns."""
+    def levels(name: str) -> pa.Array:
+        sides = [r.get(name) for _, r in rows]
+        flat = [x for side in sides if side for x in side]
+        # a list without an offset of its own is null
+        ends, total = [], 0
+        for side in sides:
+            ends.append(None if side is None else total)
+            total += len(side or ())
+        pairs = pa.StructArray.from_arrays([pa.array([float(x[k]) for x in flat], pa.float64()) for k in (0, 1)], names=["price", "quantity"])
+        return pa.ListArray.from_arrays(pa.array([*ends, total], pa.int32()), pairs)
+
+    def column(name: str) -> pa.Array:
+        if name.endswith("_levels"):
+            return levels(name)
+        values = [r.get(name) for _, r in rows]
+        if name in _WHOLE or name in _TEXT or name == "truncated":
+            return pa.array(values, pa.int64() if name in _WHOLE else pa.string() if name in _TEXT else pa.bool_())
+        return pa.array([None if v is None else float(v) for v in values], pa.float64())
+
+    return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.string()), pa.array([product] * len(rows), pa.string()), *map(column, _NAMES)], names=["stream", "product", *_NAMES])
+
+
+def reconstruct(envelopes: DataFrame, config: ReplayConfig = ReplayConfig(), product: str = "", order: str = "receive_time", kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """States, quality events, ticker checks and windows (``kind``) of each stream, replayed in one of ORDERS; only rows of ``kinds``.
+
+    A stream is one task, since its validity depends on everything before, but
+    it passes through: a task holds the book, the numbers of an epoch and a
+    batch of rows.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDERS[order], kind="stable", na_position="last")
-        replay, rows = Replay(config), []
-        for m in messages(pdf):
-            rows += replay.apply(m)
-        return as_frame(rows + replay.finish(), stream=pdf["stream"].iloc[0], product=product)
-
-    return envelopes.groupBy("stream").applyInPandas(fold, f"stream string, product string, {RESULT}")
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, replay = None, None
+        for batch in batches:
+            rows: list[tuple[str | None, dict]] = []
+            for stream, m in batch_messages(batch):
+                if replay is None or stream != at:
+                    rows += [(at, r) for r in replay.finish() if r["kind"] in kinds] if replay else []
+                    at, replay = stream, Replay(config)
+                rows += [(at, r) for r in replay.apply(m) if r["kind"] in kinds]
+            yield as_batch(rows, product)
+        if replay:
+            yield as_batch([(at, r) for r in replay.finish() if r["kind"] in kinds], product)
+
+    rows = envelopes.repartition(TASKS, "stream").sortWithinPartitions("stream", *[F.asc_nulls_last(c) for c in ORDERS[order]])
+    return rows.select(*_READ).mapInArrow(fold, f"stream string, product string, {RESULT}")
 
 
 def boundary_is_continuous(windows: DataFrame, after: DataFrame) -> DataFrame:

@@ -127,9 +127,8 @@ def replica_streams(spark, d):
 SELECT d.stream, d.window_id::BIGINT AS window_id, states::BIGINT AS states, coalesce(stored, 0) AS stored, concat_ws(',', CASE WHEN states <> coalesce(stored, 0) THEN 'row_count_mismatch' END, CASE WHEN stored IS NULL THEN 'origin_missing' END, CASE WHEN kept_n <> first_n THEN 'origin_sequence_mismatch' END) AS errors FROM d LEFT JOIN k ON d.stream = k.stream AND d.window_id = k.window_id""")
 def window_audit(spark, d):
     """Replayed validity windows against their states, of which a store has lost those of each fortieth sequence number."""
-    rows = replayed(spark, d)
-    states = rows.where("kind = 'state' AND seq % 40 <> 0").select("stream", "window_id", "epoch", "seq")
-    return diagnostics.audit_windows(rows.where("kind = 'window'").select("stream", "window_id", "epoch", "first_seq", "states"), states, ["stream"])
+    states = replayed(spark, d, "state").where("seq % 40 <> 0").select("stream", "window_id", "epoch", "seq")
+    return diagnostics.audit_windows(replayed(spark, d, "window").select("stream", "window_id", "epoch", "first_seq", "states"), states, ["stream"])
 
 
 @register("right_boundaries", TICKS + """, n AS (SELECT product, k, row_number() OVER (PARTITION BY product ORDER BY seq) - 1 AS i FROM t), f AS (SELECT product, i // 50 AS file, i AS line, CASE WHEN k > 9 AND i // 50 % 7 <> 5 THEN i END AS n FROM n),
