@@ -9,10 +9,10 @@ The model is one block of causal self-attention over subword ids with a
 feed-forward layer.  Its output distribution is factored: a softmax over
 classes, then the id within its class by smoothed counts.  Frequent ids are
 classes of their own.  Ranks, classes and counts are of the subwords of all
-training documents.  The network is trained with Adam in numpy on a share of
-them, drawn in parts: each part is one task with its own steps, so documents
-and steps grow with the training set, and parameters and moments are averaged
-over the parts several times on the way.  A text is cut into overlapping windows; all windows of
+training documents.  The network is trained with Adam in numpy on all of
+them, dealt into parts: each part is one task that takes each of its windows
+at least once, and parameters and moments are averaged over the parts several
+times on the way.  A text is cut into overlapping windows; all windows of
 a batch go through masked attention at once, and each token is scored in
 exactly one window, with the window's earlier tokens as context.
 """
@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import Words, text_bytes, text_chunks, written
 
-#: Documents of one part that the network is trained on (expected number, drawn by a hash of the id); least share of the training documents that all parts hold.
-TRAIN_DOCUMENTS, TRAIN_SHARE = 2000, 1 / 32
-#: Times that the parts' networks are averaged; rows that the averages of a round reach the driver in, at most.
+#: Documents of one part that the network is trained on (expected number, dealt by a hash of the id); the parts hold all training documents.
+TRAIN_DOCUMENTS = 4000
+#: Times that the parts' networks are averaged; rows that the averages of a round reach the driver in, at least (more for over 64 parts: the root of their number).
 ROUNDS, AVERAGES = 4, 8
 #: Window, tokens that later windows newly score, width, feed-forward width, input ids, classes.
 WINDOW, STRIDE, WIDTH, HIDDEN, INPUTS, CLASSES = 40, 32, 24, 48, 2048, 96
+#: Steps of a part, at least; windows of a step.
 STEPS, BATCH, RATE = 600, 64, 4e-3
 #: Windows of one batch when scoring; bytes of text of one round; exponents up to this size neither over- nor underflow in sums.
 SCORE_BATCH, SCORE_BYTES, SAFE = 64, 1 << 18, 80
@@ -126,7 +127,9 @@ class AttentionModel:
         g["pos"] = np.zeros_like(p["pos"])
         g["pos"][: inputs.shape[1]] = dx.sum(0)
         g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], inputs.reshape(-1), flat(dx))
+        order = np.argsort(inputs.reshape(-1), kind="stable")
+        own, first = np.unique(inputs.reshape(-1)[order], return_index=True)
+        g["e"][own] = np.add.reduceat(flat(dx)[order], first, axis=0)
         return float(loss), g
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -212,14 +215,21 @@ def moments(model: AttentionModel) -> tuple[dict[str, np.ndarray], dict[str, np.
     return tuple({k: np.zeros_like(v) for k, v in model.p.items()} for _ in range(2))
 
 
-def fit(model: AttentionModel, m1: dict[str, np.ndarray], m2: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, span: tuple[int, int], steps: int, rng: np.random.Generator) -> int:
-    """Takes the steps after span[0] up to span[1] of ``steps`` on id sequences (one after another, with their lengths), in place; the number of windows."""
+def fit(model: AttentionModel, m1: dict[str, np.ndarray], m2: dict[str, np.ndarray], ids: np.ndarray, counts: np.ndarray, rounds: tuple[int, int], steps: int, seed: tuple[int, ...]) -> int:
+    """Takes the steps of one of some rounds (number, of how many) on id sequences (one after another, with their lengths), in place; the number of windows.
+
+    All rounds take ``steps`` steps at least, and each window once before any
+    again: the windows pass in shuffled order, BATCH a step.
+    """
     inputs, targets, _, _ = windows(ids, counts, -1)
     inputs = np.where(inputs < 0, INPUTS, model.input_of[np.maximum(inputs, 0)])
     goals = np.where(targets >= 0, model.class_of[np.maximum(targets, 0)], -1)
+    steps = max(steps, math.ceil(len(inputs) / BATCH))
+    rng = np.random.default_rng(seed)
+    order = np.concatenate([rng.permutation(len(inputs)) for _ in range(math.ceil(steps * BATCH / len(inputs)))])
     p = model.p
-    for step in range(span[0] + 1, span[1] + 1):
-        pick = rng.integers(0, len(inputs), BATCH)
+    for step in range(steps * rounds[0] // rounds[1] + 1, steps * (rounds[0] + 1) // rounds[1] + 1):
+        pick = order[(step - 1) * BATCH : step * BATCH]
         _, g = model.gradients(inputs[pick], goals[pick])
         rate = RATE * min(1, step / 30) * (1 - 0.9 * step / steps)
         for k in p:
@@ -233,13 +243,13 @@ def train(ids: np.ndarray, counts: np.ndarray, vocabulary: int, steps: int = STE
     """Fits the model on id sequences (one after another, with their lengths)."""
     model = untrained(np.bincount(ids, minlength=vocabulary), seed)
     if len(ids):
-        fit(model, *moments(model), ids, counts, (0, steps), steps, np.random.default_rng(seed))
+        fit(model, *moments(model), ids, counts, (0, 1), steps, (seed,))
     return model
 
 
-def parts_of(documents: int, size: int) -> int:
-    """The parts that the network is trained on: they hold TRAIN_SHARE of the training documents, and one part at least."""
-    return max(1, math.ceil(documents * TRAIN_SHARE / size))
+def parts_of(documents: int, size: int, share: float = 1 / 32) -> int:
+    """The parts of about ``size`` documents that hold a share of the documents (scores take all of them), and one part at least."""
+    return max(1, math.ceil(documents * share / size))
 
 
 def flattened(*groups: dict[str, np.ndarray]) -> np.ndarray:
@@ -267,9 +277,10 @@ def mean_of(states: pa.Table) -> tuple[int, np.ndarray]:
     return total, (mean / total).astype(np.float32)
 
 
-def fit_parts(model: AttentionModel, sample: DataFrame, parts: int, dtype: np.dtype, steps: int) -> AttentionModel:
-    """The model after ``steps`` steps on each part of ``sample`` (part, pieces), averaged over the parts ROUNDS times."""
-    spark, m1, m2 = sample.sparkSession, *moments(model)
+def fit_parts(model: AttentionModel, learned: DataFrame, parts: int, dtype: np.dtype, steps: int) -> AttentionModel:
+    """The model after ``steps`` steps at least on each part of ``learned`` (part, pieces), averaged over the parts ROUNDS times."""
+    spark, m1, m2 = learned.sparkSession, *moments(model)
+    groups = max(AVERAGES, math.isqrt(parts))
     schema = "part int, windows bigint, state binary"
 
     def average(states: pa.Table) -> pa.Table:
@@ -277,10 +288,9 @@ def fit_parts(model: AttentionModel, sample: DataFrame, parts: int, dtype: np.dt
         return pa.table([pa.array([min(states.column("part").to_pylist())], pa.int32()), pa.array([total], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["part", "windows", "state"])
 
     for r in range(ROUNDS):
-        span = steps * r // ROUNDS, steps * (r + 1) // ROUNDS
         shared = spark.sparkContext.broadcast((model, m1, m2))
 
-        def learn(batches: Iterator[pa.RecordBatch], span: tuple[int, int] = span, shared=shared, r: int = r) -> Iterator[pa.RecordBatch]:
+        def learn(batches: Iterator[pa.RecordBatch], shared=shared, r: int = r) -> Iterator[pa.RecordBatch]:
             texts, part = [], None
             for batch in batches:
                 texts += batch.column("pieces").to_pylist()
@@ -290,12 +300,12 @@ def fit_parts(model: AttentionModel, sample: DataFrame, parts: int, dtype: np.dt
                 start, one, two = shared.value
                 own, one, two = AttentionModel(start.input_of, start.class_of, start.within, dict(start.p)), dict(one), dict(two)
                 ids = np.frombuffer(b"".join(texts), dtype).astype(np.int64)
-                n = fit(own, one, two, ids, np.array([len(x) // dtype.itemsize for x in texts]), span, steps, np.random.default_rng((5, part, r)))
+                n = fit(own, one, two, ids, np.array([len(x) // dtype.itemsize for x in texts]), (r, ROUNDS), steps, (5, part))
                 yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([flattened(own.p, one, two).tobytes()], pa.binary())], names=["part", "windows", "state"])
 
         # one part is one partition, and one task
-        states = written(sample.repartitionById(parts, F.col("part")).mapInArrow(learn, schema), "lm")
-        means = states.groupBy(F.pmod("part", F.lit(AVERAGES))).applyInArrow(average, schema).toArrow()  # at most AVERAGES rows
+        states = written(learned.repartitionById(parts, F.col("part")).mapInArrow(learn, schema), "lm")
+        means = states.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(average, schema).toArrow()  # at most so many rows
         if not means.num_rows:
             return model
         p, m1, m2 = restored(mean_of(means)[1], model.p, 3)
@@ -468,8 +478,8 @@ def score_documents(docs: DataFrame, training: Column, tokenizer: str, id_col: s
     learned from (null: not).  ``base_score`` is the sum over words and the end
     of log10((c + 1) / (N + V + 1)); ``score`` is the model's log10 probability
     of the lower-cased text's subwords and end, from subword counts over all
-    training documents and a network trained on parts of ``train_documents``
-    each (see ``parts_of``).  A null text counts as empty:
+    training documents and a network trained on all of them, in parts of about
+    ``train_documents`` (see ``parts_of``).  A null text counts as empty:
     one token, the end.  Equal rows get equal results, one row each; other
     columns don't matter.  An empty table gives no rows.
     """
@@ -503,11 +513,10 @@ def score_documents(docs: DataFrame, training: Column, tokenizer: str, id_col: s
     documents = end_count
     model = untrained(piece_counts(learned.select("pieces"), tokenizer))
     if documents:
-        parts = parts_of(documents, train_documents)
-        drawn = int(min(1.0, parts * train_documents / documents) * (1 << 24))
+        parts = parts_of(documents, train_documents, 1)
         place = F.pmod(F.xxhash64(F.lit("lm"), "doc"), F.lit(1 << 24))
-        sample = written(learned.where(place < drawn).select(F.floor(place * parts / max(drawn, 1)).cast("int").alias("part"), "pieces"), "lm")
-        model = fit_parts(model, sample, parts, dtype, STEPS)
+        dealt = written(learned.select(F.floor(place * parts / (1 << 24)).cast("int").alias("part"), "pieces"), "lm")
+        model = fit_parts(model, dealt, parts, dtype, STEPS)
     shared = spark.sparkContext.broadcast(model)
 
     def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
