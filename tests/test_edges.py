@@ -87,6 +87,6 @@ def test_replay_passes_through_and_its_input_is_that_of_classified_envelopes(spa
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["replay_quality", "replay_windows"])
+@pytest.mark.parametrize("name", ["replay_quality", "replay_windows", "window_audit"])
 def test_replays_hold_no_stream_whole(spark, name):
     assert "FlatMapGroupsInPandas" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
