@@ -1,5 +1,7 @@
 """The language model learns from every training document, not from a share of them."""
 
+import os
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -23,3 +25,42 @@ def test_parts_hold_every_training_document(spark, monkeypatch):
     rows = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     assert lm.score_documents(rows, F.col("doc_id") < 300, registry.tokenizer_path("byte_bpe_multi_50k.tiktoken"), train_documents=50).count() == 400
     assert got == [(300, 6, 6)]
+
+
+def test_parts_are_dealt_once_for_all_rounds(spark, monkeypatch):
+    texts = [(i % 3, (np.arange(50) * (i + 1) % 97).astype(np.uint16).tobytes()) for i in range(30)]
+    rows, start, dealt, made = spark.createDataFrame(texts, "part int, pieces binary"), lm.untrained(np.full(100, 5)), [], []
+    own = type(rows).repartitionById
+    monkeypatch.setattr(type(rows), "repartitionById", lambda df, *a: dealt.append(a) or own(df, *a))
+    monkeypatch.setattr(lm, "mean_of", lambda states, mean=lm.mean_of: made.append(sum(states.column("windows").to_pylist())) or mean(states))
+    lm.fit_parts(start, rows, 3, np.dtype(np.uint16), 1)
+    assert len(dealt) == 1 and made == [60] * lm.ROUNDS  # two windows a text, all of them in each round's weights
+
+
+def test_long_parts_are_learned_from_in_several_rows(spark, monkeypatch):
+    texts = [(0, (np.arange(50) * (i + 1) % 97).astype(np.uint16).tobytes()) for i in range(30)]
+    seen, rows = [], []
+    monkeypatch.setattr(lm, "PART_BYTES", 1000)
+    monkeypatch.setattr(lm, "removed", lambda df: rows.append(df.count()))
+    monkeypatch.setattr(lm, "mean_of", lambda states, mean=lm.mean_of: seen.append(sum(states.column("windows").to_pylist())) or mean(states))
+    lm.fit_parts(lm.untrained(np.full(100, 5)), spark.createDataFrame(texts, "part int, pieces binary"), 1, np.dtype(np.uint16), 1)
+    assert set(seen) == {60} and set(rows) == {3}
+
+
+def test_a_round_makes_its_own_windows_only(monkeypatch):
+    made, own = [], lm.windows
+    monkeypatch.setattr(lm, "windows", lambda *a: made.append(own(*a)) or made[-1])
+    model = lm.untrained(np.full(400, 5))
+    for r in range(lm.ROUNDS):
+        lm.fit(model, *lm.moments(model), np.arange(40 * 1024) % 391, np.full(1024, 40), (r, lm.ROUNDS), 0, (5, 0))
+    assert [len(m[0]) for m in made] == [1024 // lm.ROUNDS] * lm.ROUNDS
+
+
+def test_training_leaves_no_tables(spark, monkeypatch):
+    made, own = [], lm.written
+    monkeypatch.setattr(lm, "written", lambda df, purpose: made.append(own(df, purpose)) or made[-1])
+    rows = spark.createDataFrame([(i % 3, np.arange(50, dtype=np.uint16).tobytes()) for i in range(30)], "part int, pieces binary")
+    folders = []
+    monkeypatch.setattr(lm, "removed", lambda df, remove=lm.removed: folders.append(df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")) or remove(df))
+    lm.fit_parts(lm.untrained(np.full(100, 5)), rows, 3, np.dtype(np.uint16), 1)
+    assert len(made) == len(folders) == lm.ROUNDS + 1 and not any(os.path.exists(f) for f in folders)

@@ -183,3 +183,11 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     path = own_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``df``, when nothing will read it again."""
+    jvm = df.sparkSession.sparkContext._jvm
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, text_bytes, text_chunks, written
+from .common import Words, removed, text_bytes, text_chunks, written
 
 #: Documents of one part that the network is trained on (expected number, dealt by a hash of the id); the parts hold all training documents.
 TRAIN_DOCUMENTS = 4000
@@ -41,6 +41,8 @@ WINDOW, STRIDE, WIDTH, HIDDEN, INPUTS, CLASSES = 40, 32, 24, 48, 2048, 96
 STEPS, BATCH, RATE = 600, 64, 4e-3
 #: Windows of one batch when scoring; bytes of text of one round; exponents up to this size neither over- nor underflow in sums.
 SCORE_BATCH, SCORE_BYTES, SAFE = 64, 1 << 18, 80
+#: Bytes of ids of one row of a part; a part of longer texts has several rows, each trained on by itself.
+PART_BYTES = 1 << 26
 #: Spans whose subwords a worker keeps, for speed only; a round's own spans may be more.
 CACHED = 1 << 19
 #: At most so many words are looked up without a join.
@@ -53,12 +55,19 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
 
 
-def windows(ids: np.ndarray, counts: np.ndarray, begin: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(inputs, targets, scored, text) of the windows of several id sequences; -1 pads the targets."""
-    n = np.maximum(1, 1 - (WINDOW - counts) // STRIDE)
+def window_counts(counts: np.ndarray) -> np.ndarray:
+    """How many windows id sequences of some lengths have."""
+    return np.maximum(1, 1 - (WINDOW - counts) // STRIDE)
+
+
+def windows(ids: np.ndarray, counts: np.ndarray, begin: int, pick: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(inputs, targets, scored, text) of the windows of several id sequences, or of those with some numbers; -1 pads the targets."""
+    n = window_counts(counts)
     text = np.repeat(np.arange(len(counts)), n)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
-    start = np.repeat(np.cumsum(counts) - counts, n) + nth * STRIDE
+    pick = np.arange(len(text)) if pick is None else pick
+    text = text[pick]
+    nth = pick - (np.cumsum(n) - n)[text]
+    start = (np.cumsum(counts) - counts)[text] + nth * STRIDE
     inside = np.arange(WINDOW) < (counts[text] - nth * STRIDE)[:, None]
     targets = ids[np.where(inside, start[:, None] + np.arange(WINDOW), 0)]
     inputs = np.empty_like(targets)
@@ -79,57 +88,86 @@ class AttentionModel:
     within: np.ndarray
     p: dict[str, np.ndarray]
 
+    def hidden(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
+        """Everything from the embeddings to the last layer's exponents and their sums, a row for each token but for the weights ``a``."""
+        p, (n, t) = self.p, inputs.shape
+        x = np.take(p["e"], inputs.reshape(-1), axis=0)
+        x.reshape(n, t, WIDTH)[...] += p["pos"][:t]
+        # one product for a matrix of all tokens costs far less than one for each window
+        w = np.hstack([p["q"] / np.float32(math.sqrt(WIDTH)), p["k"], p["v"]])
+        qkv = (x @ w).reshape(n, t, 3 * WIDTH)
+        q, k, v = (qkv[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        s = q @ k.transpose(0, 2, 1)
+        past = np.tril(np.ones((t, t), s.dtype))
+        if max(s.max(), -s.min()) > SAFE:
+            s -= np.where(past > 0, s, -np.inf).max(axis=2, keepdims=True)
+            np.minimum(s, 0, out=s)  # those above are of later tokens
+        a = np.exp(s, out=s)
+        a *= past  # no token sees a later one
+        a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(n, t, 1)
+        c = (a @ v).reshape(-1, WIDTH)
+        h = c @ p["o"]
+        h += x
+        u = h @ p["w1"]
+        u += p["b1"]
+        np.maximum(u, 0, out=u)
+        f = u @ p["w2"]
+        f += h
+        z = f @ p["u"]
+        z += p["ub"]
+        if max(z.max(), -z.min()) > SAFE:
+            z -= z.max(axis=1, keepdims=True)
+        e = np.exp(z)
+        total = e @ np.ones(CLASSES, z.dtype)
+        return {"x": x, "w": w, "qkv": qkv, "a": a, "c": c, "h": h, "act": u, "f": f, "z": z, "exp": e, "total": total}
+
     def forward(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
-        """Everything from the embeddings to the classes' log probabilities, for windows of input numbers."""
-        p, t = self.p, inputs.shape[1]
-        x = p["e"][inputs] + p["pos"][:t]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) / np.float32(math.sqrt(WIDTH))
-        s += np.triu(np.full((t, t), -1e9, dtype=np.float32), 1)  # no token sees a later one
-        s -= s.max(axis=2, keepdims=True)
-        a = np.exp(s)
-        a /= a.sum(axis=2, keepdims=True)
-        c = a @ v
-        h = x + c @ p["o"]
-        u = h @ p["w1"] + p["b1"]
-        f = h + np.maximum(u, 0) @ p["w2"]
-        z = f @ p["u"] + p["ub"]
-        z -= z.max(axis=2, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=2, keepdims=True))
-        return {"x": x, "q": q, "k": k, "v": v, "a": a, "c": c, "h": h, "hid": u, "f": f, "z": z}
+        """``z``: the classes' log probabilities, for windows of input numbers."""
+        m = self.hidden(inputs)
+        return {"z": (m["z"] - np.log(m["total"])[:, None]).reshape(*inputs.shape, CLASSES)}
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(mean loss, gradient of each parameter); class -1 doesn't count."""
-        p, m = self.p, self.forward(inputs)
-        real = classes >= 0
-        total = max(1, int(real.sum()))
-        b, t = np.nonzero(real)
-        loss = -m["z"][b, t, classes[b, t]].sum() / total
-        d = np.exp(m["z"])
-        d[b, t, classes[b, t]] -= 1
-        d *= (real / np.float32(total))[:, :, None]
-        flat = lambda x: x.reshape(-1, x.shape[-1])
-        g = {"u": flat(m["f"]).T @ flat(d), "ub": flat(d).sum(0)}
+        p, m, (n, t) = self.p, self.hidden(inputs), inputs.shape
+        at = np.flatnonzero(classes.reshape(-1) >= 0)
+        goal, count = classes.reshape(-1)[at], max(1, len(at))
+        loss = (np.log(m["total"][at]) - m["z"][at, goal]).sum() / count
+        d = m["exp"]
+        share = np.zeros(n * t, d.dtype)
+        share[at] = 1 / count
+        d *= (share / m["total"])[:, None]
+        d[at, goal] -= d.dtype.type(1 / count)
+        sums = np.ones(n * t, d.dtype)
+        g = {"u": m["f"].T @ d, "ub": sums @ d}
         df = d @ p["u"].T
-        act = np.maximum(m["hid"], 0)
-        g["w2"] = flat(act).T @ flat(df)
-        du = (df @ p["w2"].T) * (m["hid"] > 0)
-        g["w1"], g["b1"] = flat(m["h"]).T @ flat(du), flat(du).sum(0)
-        dh = df + du @ p["w1"].T
-        g["o"] = flat(m["c"]).T @ flat(dh)
-        dc = dh @ p["o"].T
-        da, dv = dc @ m["v"].transpose(0, 2, 1), m["a"].transpose(0, 2, 1) @ dc
-        ds = m["a"] * (da - (da * m["a"]).sum(axis=2, keepdims=True)) / np.float32(math.sqrt(WIDTH))
-        dq, dk = ds @ m["k"], ds.transpose(0, 2, 1) @ m["q"]
-        dx = dh + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T
-        for name, dy in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(m["x"]).T @ flat(dy)
+        g["w2"] = m["act"].T @ df
+        du = df @ p["w2"].T
+        du *= m["act"] > 0
+        g["w1"], g["b1"] = m["h"].T @ du, sums @ du
+        dh = du @ p["w1"].T
+        dh += df
+        g["o"] = m["c"].T @ dh
+        dc, a = (dh @ p["o"].T).reshape(n, t, WIDTH), m["a"]
+        q, k, v = (m["qkv"][:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        back = np.empty_like(m["qkv"])
+        dq, dk, dv = (back[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
+        dv[...] = a.transpose(0, 2, 1) @ dc
+        ds = dc @ v.transpose(0, 2, 1)
+        # a row's weighted mean of ``ds`` is that of its context
+        ds -= ((m["c"] * dc.reshape(-1, WIDTH)) @ np.ones(WIDTH, d.dtype)).reshape(n, t, 1)
+        ds *= a
+        dq[...], dk[...] = ds @ k, ds.transpose(0, 2, 1) @ q
+        back = back.reshape(-1, 3 * WIDTH)
+        dw = m["x"].T @ back
+        g["q"], g["k"], g["v"] = dw[:, :WIDTH] / np.float32(math.sqrt(WIDTH)), dw[:, WIDTH : 2 * WIDTH], dw[:, 2 * WIDTH :]
+        dx = back @ m["w"].T
+        dx += dh
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][: inputs.shape[1]] = dx.sum(0)
+        g["pos"][:t] = dx.reshape(n, -1).T.reshape(t, WIDTH, n).sum(2)
         g["e"] = np.zeros_like(p["e"])
-        order = np.argsort(inputs.reshape(-1), kind="stable")
-        own, first = np.unique(inputs.reshape(-1)[order], return_index=True)
-        g["e"][own] = np.add.reduceat(flat(dx)[order], first, axis=0)
+        own, which = np.unique(inputs.reshape(-1), return_inverse=True)
+        places = which.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
+        g["e"][own] = np.bincount(places.reshape(-1), weights=dx.reshape(-1), minlength=len(own) * WIDTH).reshape(-1, WIDTH)
         return float(loss), g
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -221,22 +259,37 @@ def fit(model: AttentionModel, m1: dict[str, np.ndarray], m2: dict[str, np.ndarr
     All rounds take ``steps`` steps at least, and each window once before any
     again: the windows pass in shuffled order, BATCH a step.
     """
-    inputs, targets, _, _ = windows(ids, counts, -1)
-    inputs = np.where(inputs < 0, INPUTS, model.input_of[np.maximum(inputs, 0)])
-    goals = np.where(targets >= 0, model.class_of[np.maximum(targets, 0)], -1)
-    steps = max(steps, math.ceil(len(inputs) / BATCH))
+    total = int(window_counts(counts).sum())
+    steps = max(steps, math.ceil(total / BATCH))
     rng = np.random.default_rng(seed)
-    order = np.concatenate([rng.permutation(len(inputs)) for _ in range(math.ceil(steps * BATCH / len(inputs)))])
+    order = np.concatenate([rng.permutation(total) for _ in range(math.ceil(steps * BATCH / total))])
+    done, last = (steps * (rounds[0] + i) // rounds[1] for i in range(2))
+    # the windows of this round alone
+    inputs, targets, _, _ = windows(ids, counts, -1, order[done * BATCH : last * BATCH])
+    inputs = np.where(inputs < 0, INPUTS, model.input_of[np.maximum(inputs, 0)]).astype(np.int16)
+    goals = np.where(targets >= 0, model.class_of[np.maximum(targets, 0)], -1)
     p = model.p
-    for step in range(steps * rounds[0] // rounds[1] + 1, steps * (rounds[0] + 1) // rounds[1] + 1):
-        pick = order[(step - 1) * BATCH : step * BATCH]
-        _, g = model.gradients(inputs[pick], goals[pick])
+    for k in p:
+        p[k], m1[k], m2[k] = p[k].copy(), m1[k].copy(), m2[k].copy()
+    for step in range(done + 1, last + 1):
+        part = slice((step - done - 1) * BATCH, (step - done) * BATCH)
+        _, g = model.gradients(inputs[part], goals[part])
         rate = RATE * min(1, step / 30) * (1 - 0.9 * step / steps)
+        one, two = np.float32(rate / (1 - 0.9**step)), np.float32(1 / math.sqrt(1 - 0.99**step))
         for k in p:
-            m1[k] = 0.9 * m1[k] + 0.1 * g[k]
-            m2[k] = 0.99 * m2[k] + 0.01 * g[k] ** 2
-            p[k] = p[k] - (rate * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
-    return len(inputs)
+            m1[k] *= np.float32(0.9)
+            m1[k] += np.float32(0.1) * g[k]
+            m2[k] *= np.float32(0.99)
+            change = np.square(g[k], out=g[k])
+            change *= np.float32(0.01)
+            m2[k] += change
+            np.sqrt(m2[k], out=change)
+            change *= two
+            change += np.float32(1e-8)
+            np.divide(m1[k], change, out=change)
+            change *= one
+            p[k] -= change
+    return total
 
 
 def train(ids: np.ndarray, counts: np.ndarray, vocabulary: int, steps: int = STEPS, seed: int = 5) -> AttentionModel:
@@ -269,9 +322,9 @@ def restored(flat: np.ndarray, like: dict[str, np.ndarray], n: int) -> list[dict
 
 
 def mean_of(states: pa.Table) -> tuple[int, np.ndarray]:
-    """(windows, mean of the states weighted by them) of rows part, windows, state."""
+    """(windows, mean of the states weighted by them) of rows part, nth, windows, state."""
     total, mean = 0, 0.0
-    for row in sorted(states.to_pylist(), key=lambda row: row["part"]):
+    for row in sorted(states.to_pylist(), key=lambda row: (row["part"], row["nth"])):
         mean = mean + row["windows"] * np.frombuffer(row["state"], np.float32).astype(np.float64)
         total += row["windows"]
     return total, (mean / total).astype(np.float32)
@@ -281,35 +334,46 @@ def fit_parts(model: AttentionModel, learned: DataFrame, parts: int, dtype: np.d
     """The model after ``steps`` steps at least on each part of ``learned`` (part, pieces), averaged over the parts ROUNDS times."""
     spark, m1, m2 = learned.sparkSession, *moments(model)
     groups = max(AVERAGES, math.isqrt(parts))
-    schema = "part int, windows bigint, state binary"
+    schema = "part int, nth int, windows bigint, state binary"
 
     def average(states: pa.Table) -> pa.Table:
         total, mean = mean_of(states)
-        return pa.table([pa.array([min(states.column("part").to_pylist())], pa.int32()), pa.array([total], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["part", "windows", "state"])
+        return pa.table([pa.array([min(states.column("part").to_pylist())], pa.int32()), pa.array([0], pa.int32()), pa.array([total], pa.int64()), pa.array([mean.tobytes()], pa.binary())], names=["part", "nth", "windows", "state"])
 
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A part's texts in one row, or in several of about PART_BYTES."""
+        texts, part = [], None
+        for batch in batches:
+            texts += batch.column("pieces").to_pylist()
+            part = batch.column("part")[0].as_py() if batch.num_rows else part
+        texts.sort()  # rows come in any order: sorted, so that training repeats
+        held = np.cumsum([0, *map(len, texts)])
+        for nth, own in enumerate(np.split(np.arange(len(texts)), np.flatnonzero(np.diff(held[:-1] // PART_BYTES)) + 1) if texts else ()):
+            some = [texts[i] for i in own.tolist()]
+            sizes = np.array([len(x) // dtype.itemsize for x in some], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([nth], pa.int32()), pa.array([sizes.tobytes()], pa.binary()), pa.array([b"".join(some)], pa.binary())], names=["part", "nth", "sizes", "pieces"])
+
+    # one part is one partition, and one task; dealt once, for all rounds
+    dealt = written(learned.repartitionById(parts, F.col("part")).mapInArrow(packed, "part int, nth int, sizes binary, pieces binary"), "lm")
     for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast((model, m1, m2))
 
         def learn(batches: Iterator[pa.RecordBatch], shared=shared, r: int = r) -> Iterator[pa.RecordBatch]:
-            texts, part = [], None
             for batch in batches:
-                texts += batch.column("pieces").to_pylist()
-                part = batch.column("part")[0].as_py() if batch.num_rows else part
-            if texts:
-                texts.sort()  # rows come in any order: sorted, so that training repeats
-                start, one, two = shared.value
-                own, one, two = AttentionModel(start.input_of, start.class_of, start.within, dict(start.p)), dict(one), dict(two)
-                ids = np.frombuffer(b"".join(texts), dtype).astype(np.int64)
-                n = fit(own, one, two, ids, np.array([len(x) // dtype.itemsize for x in texts]), (r, ROUNDS), steps, (5, part))
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([flattened(own.p, one, two).tobytes()], pa.binary())], names=["part", "windows", "state"])
-
-        # one part is one partition, and one task
-        states = written(learned.repartitionById(parts, F.col("part")).mapInArrow(learn, schema), "lm")
+                for part, nth, sizes, pieces in zip(*(batch.column(n) for n in ("part", "nth", "sizes", "pieces")), strict=True):
+                    start, one, two = shared.value
+                    own, one, two = AttentionModel(start.input_of, start.class_of, start.within, dict(start.p)), dict(one), dict(two)
+                    n = fit(own, one, two, np.frombuffer(pieces.as_buffer(), dtype).astype(np.int64), np.frombuffer(sizes.as_buffer(), np.int64), (r, ROUNDS), steps, (5, part.as_py(), nth.as_py()))
+                    yield pa.RecordBatch.from_arrays([pa.array([part.as_py()], pa.int32()), pa.array([nth.as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([flattened(own.p, one, two).tobytes()], pa.binary())], names=["part", "nth", "windows", "state"])
+
+        states = written(dealt.mapInArrow(learn, schema), "lm")
         means = states.groupBy(F.pmod("part", F.lit(groups))).applyInArrow(average, schema).toArrow()  # at most so many rows
+        removed(states)
         if not means.num_rows:
-            return model
+            break
         p, m1, m2 = restored(mean_of(means)[1], model.p, 3)
         model = AttentionModel(model.input_of, model.class_of, model.within, p)
+    removed(dealt)
     return model
 
 
@@ -515,7 +579,7 @@ def score_documents(docs: DataFrame, training: Column, tokenizer: str, id_col: s
     if documents:
         parts = parts_of(documents, train_documents, 1)
         place = F.pmod(F.xxhash64(F.lit("lm"), "doc"), F.lit(1 << 24))
-        dealt = written(learned.select(F.floor(place * parts / (1 << 24)).cast("int").alias("part"), "pieces"), "lm")
+        dealt = learned.select(F.floor(place * parts / (1 << 24)).cast("int").alias("part"), "pieces")
         model = fit_parts(model, dealt, parts, dtype, STEPS)
     shared = spark.sparkContext.broadcast(model)
 
