@@ -8,6 +8,7 @@ from oracle import same_rows
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401  (it registers the queries)
+from tidewell.functions import scalars as S
 from tidewell.operators import book_replay, diagnostics, ledger, normalize
 from tidewell.operators import timeseries as ts
 from tidewell.plans import captures, catalog
@@ -90,3 +91,19 @@ def test_replay_passes_through_and_its_input_is_that_of_classified_envelopes(spa
 @pytest.mark.parametrize("name", ["replay_quality", "replay_windows", "window_audit"])
 def test_replays_hold_no_stream_whole(spark, name):
     assert "FlatMapGroupsInPandas" not in catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_parsing_a_message_reads_no_schema_of_all_it_holds(spark, monkeypatch):
+    """The schema of a variant is that of everything below it."""
+    asked, own = [], F.schema_of_variant
+    monkeypatch.setattr(F, "schema_of_variant", lambda v: asked.append(str(v)) or own(v))
+    line = spark.createDataFrame([("/a/session=s/x.jsonl", 1, "{}")], "source_path string, source_line long, raw_line string")
+    book_replay.replay_input(normalize.envelopes(with_payload(line)), "A-B")
+    assert all("sequence_num" in v or "_connection_epoch" in v for v in asked)  # single numbers
+
+
+def test_objects_are_told_from_other_values(spark):
+    texts = ['{}', '{"_":null}', '{"a":[{}]}', '[]', '[{}]', 'null', '1', '"{}"', None]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(S.is_object(F.parse_json("t")).alias("o"), (F.coalesce(F.schema_of_variant(F.parse_json("t")).startswith("OBJECT"), F.lit(False))).alias("w"))
+    got = rows.collect()
+    assert [r.o for r in got] == [r.w for r in got] == [True] * 3 + [False] * 6

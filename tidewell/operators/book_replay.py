@@ -263,37 +263,41 @@ def _parsed(rows: DataFrame, product: str, *more: str) -> DataFrame:
     from tidewell.functions import scalars as S
 
     text = lambda v, p: F.try_variant_get(v, p, "string")
-    kind = lambda v, k: F.coalesce(F.schema_of_variant(v).startswith(k), F.lit(False))
     listed = lambda v, p: F.try_variant_get(v, p, "array<variant>")
     message_product = text("payload", "$.product_id")
 
+    # each step reads what the one before has found: a name used twice in one expression would be evaluated twice
+    def read(e):
+        return F.struct(S.is_object(e).alias("is_object"), F.coalesce(text(e, "$.product_id"), message_product).alias("own"), listed(e, "$.updates").alias("updates"), F.coalesce(F.lower(text(e, "$.type")), F.lit("")).alias("type"))
+
+    def chosen(e):
+        own = F.filter(e["updates"], lambda u: F.coalesce(text(u, "$.product_id"), e["own"]) == product)
+        return F.struct(*(e[n].alias(n) for n in ("is_object", "own", "updates", "type")), own.alias("mine"))
+
     def event(e):
-        own = F.coalesce(text(e, "$.product_id"), message_product)
-        updates = listed(e, "$.updates")
-        mine = F.filter(updates, lambda u: F.coalesce(text(u, "$.product_id"), own) == product)
-        relevant = F.coalesce(own == product, F.lit(False)) | (F.size(F.coalesce(mine, F.array().cast("array<variant>"))) > 0)
-        type_ = F.coalesce(F.lower(text(e, "$.type")), F.lit(""))
-        error = F.when(~kind(e, "OBJECT"), "event_not_object").when(~kind(F.try_variant_get(e, "$.updates", "variant"), "ARRAY") & (own.isNull() | (own == product)), "updates_not_list").when(F.exists(updates, lambda u: ~kind(u, "OBJECT")), "update_not_object").when(relevant & ~type_.isin("snapshot", "update"), "unknown_event_type")
-        return F.struct((type_ == "snapshot").alias("snapshot"), F.coalesce(F.transform(mine, update), F.array().cast("array<struct<side:string,price:decimal(28,10),quantity:decimal(28,10)>>")).alias("updates"), relevant.alias("relevant"), error.alias("error"))
+        own, type_ = e["own"], e["type"]
+        relevant = F.coalesce(own == product, F.lit(False)) | (F.coalesce(F.size(e["mine"]), F.lit(0)) > 0)
+        error = F.when(~e["is_object"], "event_not_object").when(e["updates"].isNull() & (own.isNull() | (own == product)), "updates_not_list").when(F.exists(e["updates"], lambda u: ~S.is_object(u)), "update_not_object").when(relevant & ~type_.isin("snapshot", "update"), "unknown_event_type")
+        return F.struct((type_ == "snapshot").alias("snapshot"), F.coalesce(F.transform(e["mine"], update), F.array().cast("array<struct<side:string,price:decimal(28,10),quantity:decimal(28,10)>>")).alias("updates"), relevant.alias("relevant"), error.alias("error"))
 
     def update(u):
         return F.struct(S.book_side(text(u, "$.side")).alias("side"), S.first_text(text(u, "$.price_level"), text(u, "$.price")).try_cast("decimal(28,10)").alias("price"), S.first_text(text(u, "$.new_quantity"), text(u, "$.quantity"), text(u, "$.size")).try_cast("decimal(28,10)").alias("quantity"))
 
     is_l2, is_ticker = F.col("channel").isin("l2_data", "level2"), F.col("channel").isin("ticker", "ticker_batch")
-    rows = rows.withColumn("_events", F.when(is_l2, F.transform(listed("payload", "$.events"), event)))
-    failure = F.when(is_l2 & ~kind(F.try_variant_get("payload", "$.events", "variant"), "ARRAY"), "events_not_list").otherwise(F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda x: x.isNotNull()), F.lit(0)))
+    rows = rows.withColumn("_events", F.when(is_l2, F.transform(F.transform(F.transform(listed("payload", "$.events"), read), chosen), event)))
+    failure = F.when(is_l2 & listed("payload", "$.events").isNull(), "events_not_list").otherwise(F.get(F.filter(F.transform("_events", lambda e: e["error"]), lambda x: x.isNotNull()), F.lit(0)))
     tickers = F.filter(F.flatten(F.transform(listed("payload", "$.events"), lambda e: F.coalesce(listed(e, "$.tickers"), F.array().cast("array<variant>")))), lambda t: text(t, "$.product_id") == product)
     price = lambda t, p: text(t, p).try_cast("decimal(28,10)")
-    stamp = S.first_text(text("payload", "$._recv_ts"), text("payload", "$.recv_ts"), text("payload", "$.timestamp"))
+    received, sent = S.first_text(text("payload", "$._recv_ts"), text("payload", "$.recv_ts")), S.first_text(text("payload", "$.timestamp"))
     return rows.select(
         "stream",
         F.col("sequence_num").alias("seq"),
-        S.iso_ns(stamp).alias("ns"),
+        F.when(received.isNotNull(), F.col("recv_ns")).otherwise(S.iso_ns(sent)).alias("ns"),
         F.transform(F.filter("_events", lambda e: e["relevant"]), lambda e: F.struct(e["snapshot"].alias("snapshot"), e["updates"].alias("updates"))).alias("events"),
         "error",
         failure.alias("event_error"),
         F.col("sequence_bad").alias("bad_seq"),
-        stamp.isNotNull().alias("bad_time"),
+        F.coalesce(received, sent).isNotNull().alias("bad_time"),
         is_l2.alias("l2"),
         F.sha2(F.to_json("payload"), 256).alias("digest"),
         F.when(is_ticker, F.transform(tickers, lambda t: F.struct(price(t, "$.best_bid").alias("bid"), price(t, "$.best_ask").alias("ask")))).alias("tickers"),
