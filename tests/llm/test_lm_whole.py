@@ -1,6 +1,7 @@
 """The language model learns from every training document, not from a share of them."""
 
 import os
+import tracemalloc
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,3 +65,24 @@ def test_training_leaves_no_tables(spark, monkeypatch):
     monkeypatch.setattr(lm, "removed", lambda df, remove=lm.removed: folders.append(df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")) or remove(df))
     lm.fit_parts(lm.untrained(np.full(100, 5)), rows, 3, np.dtype(np.uint16), 1)
     assert len(made) == len(folders) == lm.ROUNDS + 1 and not any(os.path.exists(f) for f in folders)
+
+
+def test_steps_use_their_arrays_again():
+    """After the first step, no step takes fresh memory for what has a row for each token."""
+    model, rng = lm.untrained(np.full(400, 5)), np.random.default_rng(3)
+    x, y = rng.integers(0, 300, (64, lm.WINDOW)), rng.integers(0, lm.CLASSES, (64, lm.WINDOW))
+    first = model.gradients(x, y)
+    tracemalloc.start()
+    again, (_, peak) = model.gradients(x, y), tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 64 * lm.WINDOW * lm.CLASSES * 4  # bytes; less than the exponents of the classes alone
+    assert first[0] == again[0] and all(np.array_equal(first[1][k], again[1][k]) for k in first[1])
+
+
+def test_no_query_where_nothing_is_scored(monkeypatch):
+    """A later window's first tokens are keys and values only."""
+    model, weights, exp = lm.untrained(np.full(400, 5)), [], np.exp
+    monkeypatch.setattr(lm.np, "exp", lambda x, out=None: weights.append(x.shape) or exp(x, out=out))
+    model.score(np.arange(40 + 32 * 50) % 391, np.array([40 + 32 * 50]))
+    queries = sum(n * q for n, q, _ in (w for w in weights if len(w) == 3))
+    assert queries == 40 + 32 * 50  # each token once

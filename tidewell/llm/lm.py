@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from itertools import chain
 
 import numpy as np
@@ -87,17 +87,26 @@ class AttentionModel:
     class_of: np.ndarray
     within: np.ndarray
     p: dict[str, np.ndarray]
+    rooms: dict[str, np.ndarray] = field(default_factory=dict, repr=False, compare=False)
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write to, the same memory for each call of a name: fresh pages cost more than the work on them."""
+        size, kind = math.prod(shape), self.p["e"].dtype
+        held = self.rooms.get(name)
+        if held is None or held.size < size or held.dtype != kind:
+            held = self.rooms[name] = np.empty(size, kind)
+        return held[:size].reshape(shape)
 
     def hidden(self, inputs: np.ndarray) -> dict[str, np.ndarray]:
-        """Everything from the embeddings to the last layer's exponents and their sums, a row for each token but for the weights ``a``."""
-        p, (n, t) = self.p, inputs.shape
-        x = np.take(p["e"], inputs.reshape(-1), axis=0)
+        """Everything from the embeddings to the last layer's exponents and their sums, a row for each token but for the weights ``a``; good until the next call."""
+        p, (n, t), room = self.p, inputs.shape, self.room
+        x = np.take(p["e"], inputs.reshape(-1), axis=0, out=room("x", n * t, WIDTH), mode="clip")
         x.reshape(n, t, WIDTH)[...] += p["pos"][:t]
         # one product for a matrix of all tokens costs far less than one for each window
         w = np.hstack([p["q"] / np.float32(math.sqrt(WIDTH)), p["k"], p["v"]])
-        qkv = (x @ w).reshape(n, t, 3 * WIDTH)
+        qkv = np.matmul(x, w, out=room("qkv", n * t, 3 * WIDTH)).reshape(n, t, 3 * WIDTH)
         q, k, v = (qkv[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        s = q @ k.transpose(0, 2, 1)
+        s = np.matmul(q, k.transpose(0, 2, 1), out=room("a", n, t, t))
         past = np.tril(np.ones((t, t), s.dtype))
         if max(s.max(), -s.min()) > SAFE:
             s -= np.where(past > 0, s, -np.inf).max(axis=2, keepdims=True)
@@ -105,19 +114,19 @@ class AttentionModel:
         a = np.exp(s, out=s)
         a *= past  # no token sees a later one
         a /= (a.reshape(-1, t) @ np.ones(t, a.dtype)).reshape(n, t, 1)
-        c = (a @ v).reshape(-1, WIDTH)
-        h = c @ p["o"]
+        c = np.matmul(a, v, out=room("c", n, t, WIDTH)).reshape(-1, WIDTH)
+        h = np.matmul(c, p["o"], out=room("h", n * t, WIDTH))
         h += x
-        u = h @ p["w1"]
+        u = np.matmul(h, p["w1"], out=room("act", n * t, HIDDEN))
         u += p["b1"]
         np.maximum(u, 0, out=u)
-        f = u @ p["w2"]
+        f = np.matmul(u, p["w2"], out=room("f", n * t, WIDTH))
         f += h
-        z = f @ p["u"]
+        z = np.matmul(f, p["u"], out=room("z", n * t, CLASSES))
         z += p["ub"]
         if max(z.max(), -z.min()) > SAFE:
             z -= z.max(axis=1, keepdims=True)
-        e = np.exp(z)
+        e = np.exp(z, out=room("exp", n * t, CLASSES))
         total = e @ np.ones(CLASSES, z.dtype)
         return {"x": x, "w": w, "qkv": qkv, "a": a, "c": c, "h": h, "act": u, "f": f, "z": z, "exp": e, "total": total}
 
@@ -128,7 +137,7 @@ class AttentionModel:
 
     def gradients(self, inputs: np.ndarray, classes: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """(mean loss, gradient of each parameter); class -1 doesn't count."""
-        p, m, (n, t) = self.p, self.hidden(inputs), inputs.shape
+        p, m, (n, t), room = self.p, self.hidden(inputs), inputs.shape, self.room
         at = np.flatnonzero(classes.reshape(-1) >= 0)
         goal, count = classes.reshape(-1)[at], max(1, len(at))
         loss = (np.log(m["total"][at]) - m["z"][at, goal]).sum() / count
@@ -139,35 +148,37 @@ class AttentionModel:
         d[at, goal] -= d.dtype.type(1 / count)
         sums = np.ones(n * t, d.dtype)
         g = {"u": m["f"].T @ d, "ub": sums @ d}
-        df = d @ p["u"].T
+        df = np.matmul(d, p["u"].T, out=room("df", n * t, WIDTH))
         g["w2"] = m["act"].T @ df
-        du = df @ p["w2"].T
-        du *= m["act"] > 0
+        du = np.matmul(df, p["w2"].T, out=room("du", n * t, HIDDEN))
+        du *= np.sign(m["act"], out=m["act"])
         g["w1"], g["b1"] = m["h"].T @ du, sums @ du
-        dh = du @ p["w1"].T
+        dh = np.matmul(du, p["w1"].T, out=room("dh", n * t, WIDTH))
         dh += df
         g["o"] = m["c"].T @ dh
-        dc, a = (dh @ p["o"].T).reshape(n, t, WIDTH), m["a"]
+        dc, a = np.matmul(dh, p["o"].T, out=room("dc", n * t, WIDTH)).reshape(n, t, WIDTH), m["a"]
         q, k, v = (m["qkv"][:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        back = np.empty_like(m["qkv"])
+        back = room("back", n, t, 3 * WIDTH)
         dq, dk, dv = (back[:, :, i * WIDTH : (i + 1) * WIDTH] for i in range(3))
-        dv[...] = a.transpose(0, 2, 1) @ dc
-        ds = dc @ v.transpose(0, 2, 1)
+        np.matmul(a.transpose(0, 2, 1), dc, out=dv)
+        ds = np.matmul(dc, v.transpose(0, 2, 1), out=room("ds", n, t, t))
         # a row's weighted mean of ``ds`` is that of its context
-        ds -= ((m["c"] * dc.reshape(-1, WIDTH)) @ np.ones(WIDTH, d.dtype)).reshape(n, t, 1)
+        ds -= (np.multiply(m["c"], dc.reshape(-1, WIDTH), out=m["c"]) @ np.ones(WIDTH, d.dtype)).reshape(n, t, 1)
         ds *= a
-        dq[...], dk[...] = ds @ k, ds.transpose(0, 2, 1) @ q
+        np.matmul(ds, k, out=dq)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dk)
         back = back.reshape(-1, 3 * WIDTH)
         dw = m["x"].T @ back
         g["q"], g["k"], g["v"] = dw[:, :WIDTH] / np.float32(math.sqrt(WIDTH)), dw[:, WIDTH : 2 * WIDTH], dw[:, 2 * WIDTH :]
-        dx = back @ m["w"].T
+        dx = np.matmul(back, m["w"].T, out=room("dx", n * t, WIDTH))
         dx += dh
         g["pos"] = np.zeros_like(p["pos"])
-        g["pos"][:t] = dx.reshape(n, -1).T.reshape(t, WIDTH, n).sum(2)
+        g["pos"][:t] = (np.ones(n, d.dtype) @ dx.reshape(n, -1)).reshape(t, WIDTH)
         g["e"] = np.zeros_like(p["e"])
-        own, which = np.unique(inputs.reshape(-1), return_inverse=True)
-        places = which.reshape(-1, 1) * WIDTH + np.arange(WIDTH)
-        g["e"][own] = np.bincount(places.reshape(-1), weights=dx.reshape(-1), minlength=len(own) * WIDTH).reshape(-1, WIDTH)
+        order = np.argsort(inputs.reshape(-1), kind="stable")
+        which = inputs.reshape(-1)[order]
+        first = np.flatnonzero(np.diff(which, prepend=-1))
+        g["e"][which[first]] = np.add.reduceat(np.take(dx, order, axis=0, out=room("df", n * t, WIDTH), mode="clip"), first, axis=0)
         return float(loss), g
 
     def score(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -182,51 +193,51 @@ class AttentionModel:
         longest = [np.linalg.norm(x, axis=1).max() + np.linalg.norm(y, axis=1).max() for x, y in tables[:2]]
         small = longest[0] * longest[1] < SAFE  # no weight can overflow
         first, last = np.vstack([p["w1"], p["b1"]]), np.vstack([p["u"], p["ub"]])
-        # arrays that are used again: fresh pages cost more than the work on them
-        n, half = min(SCORE_BATCH, len(inputs)), WINDOW // 2
-        room = lambda *shape: np.empty(shape, dtype=np.float32)
-        qkv, c = [room(n, WINDOW, x.shape[1]) for x, _ in tables], room(n, WINDOW, WIDTH + 1)
-        spaces = [room(n, half, half), room(n, WINDOW - half, WINDOW)]
-        hs, us, zs = room(n * WINDOW, WIDTH + 1), room(n * WINDOW, HIDDEN), room(n * WINDOW, CLASSES)
         past, ones = np.tril(np.ones((WINDOW, WINDOW), dtype=np.float32)), np.ones(CLASSES, dtype=np.float32)
-        for i in range(0, len(inputs), SCORE_BATCH):
-            part = slice(i, i + SCORE_BATCH)
-            own, keep = inputs[part], scored[part]
-            m = len(own)
-            q, k, v = (x[:m] for x in qkv)
-            for y, (rows, place) in zip((q, k, v), tables, strict=True):
-                np.take(rows, own, axis=0, out=y, mode="clip")
-                y += place
-            for (lo, hi), space in zip(((0, half), (half, WINDOW)), spaces, strict=True):  # the first half sees no key of the second
-                s = np.matmul(q[:, lo:hi], k[:, :hi].transpose(0, 2, 1), out=space[:m])
-                if not small:
-                    s -= np.where(past[lo:hi, :hi] > 0, s, -np.inf).max(axis=2, keepdims=True)
-                    np.minimum(s, 0, out=s)  # those above are of later tokens
-                np.exp(s, out=s)
-                s *= past[lo:hi, :hi]
-                np.matmul(s, v[:, :hi], out=c[:m, lo:hi])
-            where, at = np.nonzero(keep)
-            seen, h = c[:m][where, at], hs[: len(at)]
-            seen /= seen[:, WIDTH:]
-            h[:, :WIDTH] = seen[:, :WIDTH] @ p["o"]
-            h[:, :WIDTH] += np.take(p["e"], own[where, at], axis=0)
-            h[:, :WIDTH] += np.take(p["pos"], at, axis=0)
-            h[:, WIDTH] = 1  # takes the biases along
-            u = np.matmul(h, first, out=us[: len(at)])
-            np.maximum(u, 0, out=u)
-            h[:, :WIDTH] += u @ p["w2"]
-            z = np.matmul(h, last, out=zs[: len(at)])
-            goal = targets[part][where, at]
-            value = z[np.arange(len(z)), self.class_of[goal]].astype(np.float64)
-            if z.max() > SAFE or z.min() < -SAFE:
-                top = z.max(axis=1, keepdims=True)
-                z -= top
-                value -= top[:, 0]
-            np.exp(z, out=z)
-            value += self.within[goal] - np.log(z @ ones)
-            begin = text[i]
-            total = np.bincount(text[part][where] - begin, weights=value)
-            out[begin : begin + len(total)] += total
+        room = lambda *shape: np.empty(shape, dtype=np.float32)
+        later = ~scored[:, 0]
+        for begin, those in ((0, np.flatnonzero(~later)), (WINDOW - STRIDE, np.flatnonzero(later))):  # no query where nothing is scored
+            # arrays that are used again: fresh pages cost more than the work on them
+            n, size, half = min(SCORE_BATCH, len(those)), WINDOW - begin, (begin + WINDOW) // 2
+            qkv, c = [room(n, t, x.shape[1]) for t, (x, _) in zip((size, WINDOW, WINDOW), tables, strict=True)], room(n, size, WIDTH + 1)
+            spaces = [room(n, half - begin, half), room(n, WINDOW - half, WINDOW)]
+            hs, us, zs = room(n * size, WIDTH + 1), room(n * size, HIDDEN), room(n * size, CLASSES)
+            for i in range(0, len(those), SCORE_BATCH):
+                part = those[i : i + SCORE_BATCH]
+                own, m = inputs[part], len(part)
+                q, k, v = (x[:m] for x in qkv)
+                for y, (rows, place) in zip((q, k, v), tables, strict=True):
+                    np.take(rows, own[:, WINDOW - y.shape[1] :], axis=0, out=y, mode="clip")
+                    y += place[WINDOW - y.shape[1] :]
+                for (lo, hi), space in zip(((begin, half), (half, WINDOW)), spaces, strict=True):  # the first half sees no key of the second
+                    s = np.matmul(q[:, lo - begin : hi - begin], k[:, :hi].transpose(0, 2, 1), out=space[:m])
+                    if not small:
+                        s -= np.where(past[lo:hi, :hi] > 0, s, -np.inf).max(axis=2, keepdims=True)
+                        np.minimum(s, 0, out=s)  # those above are of later tokens
+                    np.exp(s, out=s)
+                    s *= past[lo:hi, :hi]
+                    np.matmul(s, v[:, :hi], out=c[:m, lo - begin : hi - begin])
+                seen, h, goal = c[:m].reshape(-1, WIDTH + 1), hs[: m * size], targets[part, begin:].reshape(-1)
+                seen /= seen[:, WIDTH:]
+                h[:, :WIDTH] = seen[:, :WIDTH] @ p["o"]
+                h[:, :WIDTH] += np.take(p["e"], own[:, begin:].reshape(-1), axis=0)
+                h.reshape(m, size, -1)[:, :, :WIDTH] += p["pos"][begin:]
+                h[:, WIDTH] = 1  # takes the biases along
+                u = np.matmul(h, first, out=us[: m * size])
+                np.maximum(u, 0, out=u)
+                h[:, :WIDTH] += u @ p["w2"]
+                z = np.matmul(h, last, out=zs[: m * size])
+                value = z[np.arange(len(z)), self.class_of[goal]].astype(np.float64)
+                if z.max() > SAFE or z.min() < -SAFE:
+                    top = z.max(axis=1, keepdims=True)
+                    z -= top
+                    value -= top[:, 0]
+                np.exp(z, out=z)
+                value += self.within[goal] - np.log(z @ ones)
+                value[goal < 0] = 0  # after the text's end
+                at = text[part]
+                total = np.bincount(at - at[0], weights=value.reshape(m, size).sum(1))
+                out[at[0] : at[0] + len(total)] += total
         return out / math.log(10)
 
 
@@ -268,27 +279,29 @@ def fit(model: AttentionModel, m1: dict[str, np.ndarray], m2: dict[str, np.ndarr
     inputs, targets, _, _ = windows(ids, counts, -1, order[done * BATCH : last * BATCH])
     inputs = np.where(inputs < 0, INPUTS, model.input_of[np.maximum(inputs, 0)]).astype(np.int16)
     goals = np.where(targets >= 0, model.class_of[np.maximum(targets, 0)], -1)
-    p = model.p
-    for k in p:
-        p[k], m1[k], m2[k] = p[k].copy(), m1[k].copy(), m2[k].copy()
+    names = sorted(model.p)
+    # one array for all parameters: a few passes a step instead of a few for each parameter
+    flat, one, two = (flattened(held) for held in (model.p, m1, m2))
+    for held, of in ((model.p, flat), (m1, one), (m2, two)):
+        held.update(views(of, held))
+    own, change = np.empty_like(flat), np.empty_like(flat)
     for step in range(done + 1, last + 1):
         part = slice((step - done - 1) * BATCH, (step - done) * BATCH)
         _, g = model.gradients(inputs[part], goals[part])
+        np.concatenate([g[k].reshape(-1) for k in names], out=own)
         rate = RATE * min(1, step / 30) * (1 - 0.9 * step / steps)
-        one, two = np.float32(rate / (1 - 0.9**step)), np.float32(1 / math.sqrt(1 - 0.99**step))
-        for k in p:
-            m1[k] *= np.float32(0.9)
-            m1[k] += np.float32(0.1) * g[k]
-            m2[k] *= np.float32(0.99)
-            change = np.square(g[k], out=g[k])
-            change *= np.float32(0.01)
-            m2[k] += change
-            np.sqrt(m2[k], out=change)
-            change *= two
-            change += np.float32(1e-8)
-            np.divide(m1[k], change, out=change)
-            change *= one
-            p[k] -= change
+        one *= np.float32(0.9)
+        one += np.multiply(own, np.float32(0.1), out=change)
+        two *= np.float32(0.99)
+        np.square(own, out=own)
+        two += np.multiply(own, np.float32(0.01), out=own)
+        np.sqrt(two, out=change)
+        change *= np.float32(1 / math.sqrt(1 - 0.99**step))
+        change += np.float32(1e-8)
+        np.divide(one, change, out=change)
+        change *= np.float32(rate / (1 - 0.9**step))
+        flat -= change
+    model.rooms.clear()
     return total
 
 
@@ -310,15 +323,16 @@ def flattened(*groups: dict[str, np.ndarray]) -> np.ndarray:
     return np.concatenate([g[k].reshape(-1) for g in groups for k in sorted(g)])
 
 
+def views(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A dictionary with the shapes of ``like`` over the memory of ``flattened``."""
+    names = sorted(like)
+    ends = np.cumsum([like[k].size for k in names]).tolist()
+    return {k: flat[end - like[k].size : end].reshape(like[k].shape) for k, end in zip(names, ends, strict=True)}
+
+
 def restored(flat: np.ndarray, like: dict[str, np.ndarray], n: int) -> list[dict[str, np.ndarray]]:
     """``n`` dictionaries with the shapes of ``like`` from ``flattened``."""
-    at, out = 0, []
-    for _ in range(n):
-        out.append({})
-        for k in sorted(like):
-            out[-1][k] = flat[at : at + like[k].size].reshape(like[k].shape).astype(np.float32)
-            at += like[k].size
-    return out
+    return [views(own.astype(np.float32), like) for own in np.split(flat, n)]
 
 
 def mean_of(states: pa.Table) -> tuple[int, np.ndarray]:
